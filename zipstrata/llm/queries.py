@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op7_forced_boundary_bpe
 from .packing import op1_harmonic_packing
+from .simhash import op2_simhash_near_dedup
+from .substrings import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op7_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_simhash_near_dedup, op7_forced_boundary_bpe, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
