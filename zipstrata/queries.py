@@ -159,10 +159,7 @@ def explain_json_report(spark, sf_dir):
 def explain_sizes(spark, sf_dir):
     """Explanations of real zip archives, with the sizes of deflated deltas."""
     docs = v.documents(spark, sf_dir)
-    old, new = v.archives(docs, "old"), v.archives(docs, "new")
-    c = catalog(old), catalog(new, with_params=True)
-    stored = [a.join(k.select("pair_id", "local_off", "data_off", "csize"), "pair_id").select("pair_id", "local_off", F.expr("substring(content, cast(data_off + 1 as int), cast(csize as int))").alias("stored")) for a, k in zip((old, new), c)]
-    found = explain.explain_patch(*c, *stored, limits.total_recompression(TRL))
+    found = explain.explain_archives(v.archives(docs, "old"), v.archives(docs, "new"), limits.total_recompression(TRL))
     return found.select("pair_id", F.col("path").cast("string").alias("path"), "is_new", "reason", "size_in_patch")
 
 
