@@ -6,10 +6,10 @@ so one bad sentence is enough and clean ones don't dilute it.  The model is
 trained from document labels alone, by gradient steps on the likelihood of the
 noisy-or; afterwards the sentences' own probabilities show where the fault lies.
 
-Features are the lower-cased word and its beginnings of four to six letters,
+Features are the lower-cased word and its beginnings of three to seven letters,
 so inflected forms of a word share weight.  A feature is taken up if it occurs in
-`min_docs` training documents and its log odds of being in a toxic one are `least_z`
-standard errors above even; weights are not negative, so nothing makes up for a
+`min_docs` training documents and is commoner in toxic ones by `least_z` standard
+deviations of a likelihood-ratio test; weights are not negative, so nothing makes up for a
 bad sentence.  Training takes place on the driver from a bounded
 sample (`max_toxic` + `max_clean` labelled rows, by a hash of their id); the
 model, some thousand weights, goes to the workers with the function.
@@ -39,7 +39,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 def features(word: str) -> list[str]:
     """Of a lower-cased word."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)]
+    return [word, *(word[:n] + "*" for n in (3, 4, 5, 6, 7) if len(word) >= n)]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -92,9 +92,14 @@ class Model:
 
 
 def _association(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
-    """Standard errors by which a feature's log odds are higher in toxic documents than in clean ones."""
-    a, b, c, d = toxic + 0.5, n_toxic - toxic + 0.5, clean + 0.5, n_clean - clean + 0.5
-    return float(np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+    """Signed root of the likelihood-ratio statistic: over 0 if a feature is commoner in toxic documents than in clean ones."""
+    n = n_clean + n_toxic
+    g = 0.0
+    for seen, of in ((clean, n_clean), (toxic, n_toxic)):
+        expected = (clean + toxic) * of / n
+        for o, e in ((seen, expected), (of - seen, of - expected)):
+            g += o * np.log(o / e) if o else 0.0
+    return float(np.sqrt(max(2 * g, 0)) * (1 if toxic * n_clean > clean * n_toxic else -1))
 
 
 def train(texts: list[str | None], toxic: list[int], min_docs: int = 4, least_z: float = 4.0, rounds: int = 150, rate: float = 0.4, l2: float = 2e-6) -> Model:
