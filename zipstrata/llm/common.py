@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(df: DataFrame) -> int:
     """The session's shuffle partitions, the one knob by which operators size their buckets."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The n rows with the least hash of their id (all, if there are fewer).
+
+    For training samples only.  A threshold on the hash, from a count, first leaves
+    about twice n rows in all, so no task or partition hands on n rows of its own.
+    """
+    total, ranges = rows.count(), 1 << 30
+    h = F.pmod(F.xxhash64(id_col), F.lit(ranges))
+    if total > 4 * n:
+        few = rows.filter(h < int(2 * n / total * ranges) + 1)
+        rows = few if few.count() >= n else rows
+    return rows.orderBy(h, id_col).limit(n)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</([a-z][^\s/>]*)[^>]*>|<([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -358,7 +358,7 @@ def article_labels(page: Page) -> np.ndarray | None:
 
 def fit(pages: DataFrame, max_pages: int = 300, templates: int = 500, html_col: str = "html", id_col: str = "page_id", seed: int = 1) -> Trees:
     """Trees from at most max_pages pages, by a hash of their id, and from templates."""
-    ids = pages.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_pages)
+    ids = bounded_sample(pages.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), id_col, max_pages)
     rows = pages.select(id_col, html_col).join(F.broadcast(ids), id_col).limit(2 * max_pages).collect()
     x, y = [], []
     for r in sorted(rows, key=lambda r: (r[0], r[1] or "")):

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 _SPACE = "[ \\t-\\r]+"
 #: Statistics that rules may use, as SQL over the columns of statistics().
@@ -178,7 +178,7 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 9000, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """Rules from labels (id, quality 1 good, 0 bad) of at most max_rows documents that pass the base rule."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("__q_label"))
-    chosen = F.broadcast(marked.orderBy(F.xxhash64(id_col), id_col).limit(max_rows))
+    chosen = F.broadcast(bounded_sample(marked, id_col, max_rows))
     s = _only(statistics(docs.select(id_col, text_col).join(chosen, id_col), text_col), ~base_failed())
     rows = s.orderBy(F.xxhash64(id_col, F.lit(1)), id_col).select("__q_label", *(F.expr(e).alias(n) for n, e in FEATURES.items())).limit(max_rows).collect()
     x = {n: np.array([float(r[n]) for r in rows]) for n in FEATURES}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -151,7 +151,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     marked = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
     marked = marked if learn is None else marked.filter(learn)
     marked = marked.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    chosen = [marked.filter(F.col("toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
+    chosen = [bounded_sample(marked.filter(F.col("toxic") == y), id_col, n) for y, n in ((1, max_toxic), (0, max_clean))]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # max_toxic + max_clean rows at most
     rows = docs.select(id_col, text_col).join(ids, id_col).select(id_col, text_col, "toxic").limit(2 * (max_toxic + max_clean)).collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
