@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut_lineage
 from ..functions.bindiff import apply_delta, write_delta
 from ..functions.codec import recompress_ranges, uncompress_ranges
 from ..plans import layout
@@ -18,8 +19,11 @@ from ..sources.zipfiles import catalog
 
 
 def patch_plan(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
-    """Classified pairs of entries of archives (pair_id, content); modifiers rewrite them in turn."""
-    return plan_pairs(catalog(old), catalog(new, with_params=True), *modifiers)
+    """Classified pairs of entries of archives (pair_id, content); modifiers rewrite them in turn.
+
+    Archives are read, and deflate settings searched, once: the catalogues are written.
+    """
+    return plan_pairs(cut_lineage(catalog(old)), cut_lineage(catalog(new, with_params=True)), *modifiers)
 
 
 def make_patch(old: bytes, new: bytes, old_ops: list[tuple], new_ops: list[tuple]) -> bytes:
@@ -42,7 +46,7 @@ def use_patch(old: bytes, patch: bytes) -> bytes:
 
 def generate(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
     """(pair_id, patch) from archives (pair_id, content)."""
-    spans = layout.ranges(patch_plan(old, new, *modifiers))
+    spans = cut_lineage(layout.ranges(patch_plan(old, new, *modifiers)))
     sides = {s: layout.as_arrays(spans.filter(F.col("side") == s).select("pair_id", "offset", "length", "params.*"), "level", "strategy", "nowrap").withColumnRenamed("ops", f"{s}_ops") for s in ("old", "new")}
     rows = old.select("pair_id", F.col("content").alias("__old")).join(new.select("pair_id", F.col("content").alias("__new")), "pair_id").join(sides["old"], "pair_id", "left").join(sides["new"], "pair_id", "left")
 

@@ -10,6 +10,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut_lineage
 from ..functions.bindiff import write_delta
 from ..functions.codec import deflate, inflate
 from ..sources.zipfiles import catalog
@@ -83,7 +84,7 @@ def stored_bytes(archives: DataFrame, entries: DataFrame) -> DataFrame:
 
 def explain_archives(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
     """explained rows of archives (pair_id, content)."""
-    c, d = catalog(old), catalog(new, with_params=True)
+    c, d = cut_lineage(catalog(old)), cut_lineage(catalog(new, with_params=True))
     return explain_patch(c, d, stored_bytes(old, c), stored_bytes(new, d), *modifiers)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import cut_lineage
+
 #: What is uncompressed for each recommendation: (old, new).
 UNCOMPRESS = {"UNCOMPRESS_OLD": (True, False), "UNCOMPRESS_NEW": (False, True), "UNCOMPRESS_BOTH": (True, True), "UNCOMPRESS_NEITHER": (False, False)}
 
@@ -89,8 +91,11 @@ def with_flags(pairs: DataFrame) -> DataFrame:
 
 
 def plan_pairs(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
-    """Matched, classified and, by each modifier in turn, rewritten pairs."""
+    """Matched, classified and, by each modifier in turn, rewritten pairs.
+
+    A modifier reads the pairs more than once, so they are written before each.
+    """
     pairs = classify(match_entries(old, new))
     for m in modifiers:
-        pairs = m(pairs)
+        pairs = m(cut_lineage(pairs))
     return pairs
