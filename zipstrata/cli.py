@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .functions.codec import is_compatible
 from .operators import engine
 from .plans import explain, limits
-from .sources.zipfiles import catalog
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:

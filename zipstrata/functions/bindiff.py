@@ -6,7 +6,8 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import functions as F
+
+from .kernels import kernel
 
 #: Fixed values of the delta format and of the search.
 MAGIC = b"ENDSLEY/BSDIFF43"
@@ -291,17 +292,17 @@ def apply_gdiff(base: bytes, patch: bytes, most: int | None = None) -> bytes:
 
 
 def write_delta_column(old, new, min_match: int = MIN_MATCH):
-    return F.udf(lambda a, b: None if a is None or b is None else write_delta(bytes(a), bytes(b), min_match), "binary")(old, new)
+    return kernel(lambda a, b: None if a is None or b is None else write_delta(bytes(a), bytes(b), min_match), "binary")(old, new)
 
 
 def apply_delta_column(old, delta):
-    return F.udf(lambda a, d: None if a is None or d is None else apply_delta(bytes(a), bytes(d)), "binary")(old, delta)
+    return kernel(lambda a, d: None if a is None or d is None else apply_delta(bytes(a), bytes(d)), "binary")(old, delta)
 
 
 def delta_entries_column(delta):
     """Entries of a delta as array<struct<diff,extra,seek>>."""
-    return F.udf(lambda d: None if d is None else [e[:3] for e in read_delta(bytes(d))], ENTRIES)(delta)
+    return kernel(lambda d: None if d is None else [e[:3] for e in read_delta(bytes(d))], ENTRIES)(delta)
 
 
 def apply_gdiff_column(base, patch):
-    return F.udf(lambda b, p: None if b is None or p is None else apply_gdiff(bytes(b), bytes(p)), "binary")(base, patch)
+    return kernel(lambda b, p: None if b is None or p is None else apply_gdiff(bytes(b), bytes(p)), "binary")(base, patch)

@@ -7,9 +7,9 @@ import zlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..schemas import PARAMS
+from .kernels import kernel
 
 Params = tuple[int, int, bool]
 
@@ -84,20 +84,20 @@ def recompress_ranges(blob: bytes, ranges: Iterable[tuple[int, int, int, int, bo
 
 
 def deflate_column(data, level: int = -1, strategy: int = 0, nowrap: bool = True):
-    return F.udf(lambda x: None if x is None else deflate(bytes(x), level, strategy, nowrap), "binary")(data)
+    return kernel(lambda x: None if x is None else deflate(bytes(x), level, strategy, nowrap), "binary")(data)
 
 
 def inflate_column(data, nowrap: bool = True):
-    return F.udf(lambda x: None if x is None else inflate(bytes(x), nowrap), "binary")(data)
+    return kernel(lambda x: None if x is None else inflate(bytes(x), nowrap), "binary")(data)
 
 
 def divine_column(data):
-    return F.udf(lambda x: None if x is None else divine(bytes(x)), PARAMS)(data)
+    return kernel(lambda x: None if x is None else divine(bytes(x)), PARAMS)(data)
 
 
 def delta_friendly_column(content, ranges):
     """Binary column with the ranges (array<struct<offset,length>>) inflated."""
-    return F.udf(lambda c, r: None if c is None else uncompress_ranges(bytes(c), [(x["offset"], x["length"]) for x in r or ()])[0], "binary")(content, ranges)
+    return kernel(lambda c, r: None if c is None else uncompress_ranges(bytes(c), [(x["offset"], x["length"]) for x in r or ()])[0], "binary")(content, ranges)
 
 
 # Text and rule of the corpus that tells deflate implementations apart,
@@ -178,7 +178,7 @@ def baseline() -> list[tuple[int, int, bool, str]]:
 def fingerprints(spark: SparkSession) -> DataFrame:
     """(level, strategy, nowrap, sha256, expected) as the executors' own zlib makes them."""
     rows = spark.createDataFrame(baseline(), "level int, strategy int, nowrap boolean, expected string")
-    own = F.udf(lambda level, strategy, nowrap: hashlib.sha256(deflate(corpus(), level, strategy, nowrap)).hexdigest(), "string")
+    own = kernel(lambda level, strategy, nowrap: hashlib.sha256(deflate(corpus(), level, strategy, nowrap)).hexdigest(), "string")
     return rows.withColumn("sha256", own("level", "strategy", "nowrap"))
 
 

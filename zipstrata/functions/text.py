@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import kernel
 
 def path_text(path, utf8_flag) -> Column:
     """Entry name from its bytes: UTF-8 if flagged, else code page 437 (which Spark's decode doesn't know)."""
-    return F.udf(lambda p, u: None if p is None else bytes(p).decode("utf-8" if u else "cp437", "replace"), "string")(path, utf8_flag)
+    return kernel(lambda p, u: None if p is None else bytes(p).decode("utf-8" if u else "cp437", "replace"), "string")(path, utf8_flag)
 
 
 def format_params(p: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut_lineage
 from ..functions.bindiff import apply_delta, write_delta
 from ..functions.codec import recompress_ranges, uncompress_ranges
+from ..functions.kernels import kernel
 from ..plans import layout
 from ..plans.matching import plan_pairs
 from ..sources.patchfiles import read_patch, write_patch
@@ -50,16 +51,15 @@ def generate(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
     sides = {s: layout.as_arrays(spans.filter(F.col("side") == s).select("pair_id", "offset", "length", "params.*"), "level", "strategy", "nowrap").withColumnRenamed("ops", f"{s}_ops") for s in ("old", "new")}
     rows = old.select("pair_id", F.col("content").alias("__old")).join(new.select("pair_id", F.col("content").alias("__new")), "pair_id").join(sides["old"], "pair_id", "left").join(sides["new"], "pair_id", "left")
 
-    @F.udf("binary")
     def make(a, b, old_ops, new_ops):
         return make_patch(bytes(a), bytes(b), [(x["offset"], x["length"]) for x in old_ops or ()], [(x["offset"], x["length"], x["level"], x["strategy"], x["nowrap"]) for x in new_ops or ()])
 
-    return rows.select("pair_id", make("__old", "__new", "old_ops", "new_ops").alias("patch"))
+    return rows.select("pair_id", kernel(make, "binary")("__old", "__new", "old_ops", "new_ops").alias("patch"))
 
 
 def apply(old: DataFrame, patches: DataFrame) -> DataFrame:
     """(pair_id, content) of the new archives."""
-    use = F.udf(lambda a, p: use_patch(bytes(a), bytes(p)), "binary")
+    use = kernel(lambda a, p: use_patch(bytes(a), bytes(p)), "binary")
     return old.select("pair_id", F.col("content").alias("__old")).join(patches, "pair_id").select("pair_id", use("__old", "patch").alias("content"))
 
 

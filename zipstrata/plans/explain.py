@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut_lineage
 from ..functions.bindiff import write_delta
 from ..functions.codec import deflate, inflate
+from ..functions.kernels import kernel
 from ..sources.zipfiles import catalog
 from .matching import new_only, plan_pairs
 
@@ -68,11 +69,11 @@ def explain_patch(old: DataFrame, new: DataFrame, old_bytes: DataFrame, new_byte
     """
     stored = {s: b.select("pair_id", F.col("local_off").alias(f"{s}_off"), F.col("stored").alias(f"{s}_stored")) for s, b in (("old", old_bytes), ("new", new_bytes))}
     fresh = new_only(old, new).withColumn("new_off", F.col("local_off")).join(stored["new"], ["pair_id", "new_off"])
-    fresh = fresh.select("pair_id", "path", F.lit(True).alias("is_new"), F.lit(None).cast("string").alias("reason"), F.udf(_new_cost, "long")("new_stored").alias("size_in_patch"))
+    fresh = fresh.select("pair_id", "path", F.lit(True).alias("is_new"), F.lit(None).cast("string").alias("reason"), kernel(_new_cost, "long")("new_stored").alias("size_in_patch"))
     pairs = plan_pairs(old, new, *modifiers).withColumns({"path": F.col("new.path"), "is_new": F.lit(False), "old_off": F.col("old.local_off"), "new_off": F.col("new.local_off")})
     free = pairs.filter(is_free()).select("pair_id", "path", "is_new", "reason", F.lit(0).cast("long").alias("size_in_patch"))
     paid = pairs.filter(~is_free()).join(stored["old"], ["pair_id", "old_off"]).join(stored["new"], ["pair_id", "new_off"])
-    paid = paid.select("pair_id", "path", "is_new", "reason", F.udf(_changed_cost, "long")("old_stored", "new_stored", "unc_old", "unc_new").alias("size_in_patch"))
+    paid = paid.select("pair_id", "path", "is_new", "reason", kernel(_changed_cost, "long")("old_stored", "new_stored", "unc_old", "unc_new").alias("size_in_patch"))
     return fresh.unionByName(free).unionByName(paid)
 
 
@@ -111,7 +112,6 @@ def _text(x) -> str:
 def legacy_json_report(explained: DataFrame) -> DataFrame:
     """(pair_id, report) in the older notation: bare keys, single quotes, undefined."""
 
-    @F.udf("string")
     def write(new, changed, free, constrained, n, c, r):
         def entries(name, rows):
             lines = []
@@ -124,13 +124,12 @@ def legacy_json_report(explained: DataFrame) -> DataFrame:
         lists = (("explainedAsNew", new), ("explainedAsChanged", changed), ("explainedAsUnchangedOrFree", free), ("explainedAsResourceConstrained", constrained))
         return "{\n" + sizes + ",\n".join(entries(*x) for x in lists) + "\n}"
 
-    return _lists(explained).select("pair_id", write(*CATEGORIES, "size_new", "size_changed", "size_resource_constrained").alias("report"))
+    return _lists(explained).select("pair_id", kernel(write, "string")(*CATEGORIES, "size_new", "size_changed", "size_resource_constrained").alias("report"))
 
 
 def text_report(explained: DataFrame) -> DataFrame:
     """(pair_id, report): a line an entry (constrained ones are only counted), then counts and sums."""
 
-    @F.udf("string")
     def write(new, changed, free, constrained, n, c, r):
         lines = [f"New file '{_text(x['path'])}', approximate size of data in patch: {x['size_in_patch']} bytes" for x in new]
         lines += [f"Changed file '{_text(x['path'])}', approximate size of data in patch: {x['size_in_patch']} bytes" for x in changed]
@@ -145,4 +144,4 @@ def text_report(explained: DataFrame) -> DataFrame:
         ]
         return "\n".join(lines)
 
-    return _lists(explained).select("pair_id", write(*CATEGORIES, "size_new", "size_changed", "size_resource_constrained").alias("report"))
+    return _lists(explained).select("pair_id", kernel(write, "string")(*CATEGORIES, "size_new", "size_changed", "size_resource_constrained").alias("report"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bindiff, codec, text
+from .functions.kernels import kernel
 from .operators import engine
 from .plans import explain, layout, limits, matching
 from .sources import versions as v
@@ -196,7 +197,7 @@ def divine_params(spark, sf_dir):
     """Settings found for documents deflated at level 6; the bytes are made again with them."""
     plain = F.col("text").cast("binary")
     d = v.documents(spark, sf_dir).select("doc_id", plain.alias("plain"), codec.deflate_column(plain, 6).alias("deflated")).withColumn("p", codec.divine_column("deflated"))
-    again = F.udf(lambda x, p: None if p is None else codec.deflate(bytes(x), *p), "binary")
+    again = kernel(lambda x, p: None if p is None else codec.deflate(bytes(x), *p), "binary")
     return d.select("doc_id", F.col("p").isNotNull().alias("found"), (again("plain", "p") == F.col("deflated")).alias("same"))
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 import struct
 from typing import NamedTuple
 
-from pyspark.sql import functions as F
-
+from ..functions.kernels import kernel
 from ..schemas import PLAN
 
 #: Identifier of the format, kind of the only delta, number of the deflate window.
@@ -91,7 +90,7 @@ def read_patch(patch: bytes) -> Plan:
 
 def read_patch_column(patch):
     """The plan of a patch as a struct; an invalid patch fails the job."""
-    return F.udf(lambda p: None if p is None else read_patch(bytes(p)), PLAN)(patch)
+    return kernel(lambda p: None if p is None else read_patch(bytes(p)), PLAN)(patch)
 
 
 def try_read_patch_column(patch):
@@ -103,4 +102,4 @@ def try_read_patch_column(patch):
         except PatchError as e:
             return None, str(e)
 
-    return F.udf(read, f"struct<plan:{PLAN},error:string>")(patch)
+    return kernel(read, f"struct<plan:{PLAN},error:string>")(patch)

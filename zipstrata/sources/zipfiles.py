@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import divine
+from ..functions.kernels import kernel
 from ..schemas import ENTRY
 
 #: The records' signatures, and how far from its end an archive's directory end is looked for.
@@ -138,7 +139,7 @@ def archive_error(content):
             return str(e)
         return None
 
-    return F.udf(error, "string")(content)
+    return kernel(error, "string")(content)
 
 
 def unreadable(archives: DataFrame) -> DataFrame:
