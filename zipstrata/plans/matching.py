@@ -28,19 +28,26 @@ def _side(catalog: DataFrame, side: str) -> DataFrame:
     return catalog.select("pair_id", "path", F.struct(*catalog.columns).alias(side))
 
 
-def match_entries(old: DataFrame, new: DataFrame) -> DataFrame:
+def first_of_crc(missed: DataFrame, old: DataFrame) -> DataFrame:
+    """The usual finder: for each new entry the first old one in file order with its checksum.
+
+    missed: (pair_id, path, new), old: (pair_id, path, old).  A finder returns
+    (pair_id, new, old, matched_by) with at most one row for each of missed.
+    """
+    first = old.groupBy("pair_id", F.col("old.crc32").alias("crc32")).agg(F.min_by("old", F.col("old.local_off")).alias("old"))
+    return missed.withColumn("crc32", F.col("new.crc32")).join(first, ["pair_id", "crc32"]).select("pair_id", "new", "old", F.lit("crc32").alias("matched_by"))
+
+
+def match_entries(old: DataFrame, new: DataFrame, finder=first_of_crc) -> DataFrame:
     """(pair_id, new, old, matched_by): each new entry that has a base.
 
-    A base has the same path, or else is the first old entry in file order with the
-    same checksum.  Rows are shuffled by (pair_id, path) once; only those without
-    a base by path go on to the join by checksum.
+    A base has the same path, or else is what the finder finds.  Rows are shuffled
+    by (pair_id, path) once; only those without a base by path go on to the finder.
     """
     o, n = _side(last_of_path(old), "old"), _side(last_of_path(new), "new")
     by_path = n.join(o, ["pair_id", "path"]).select("pair_id", "new", "old", F.lit("path").alias("matched_by"))
-    missed = n.join(o.select("pair_id", "path"), ["pair_id", "path"], "left_anti").withColumn("crc32", F.col("new.crc32"))
-    first = o.groupBy("pair_id", F.col("old.crc32").alias("crc32")).agg(F.min_by("old", F.col("old.local_off")).alias("old"))
-    by_crc = missed.join(first, ["pair_id", "crc32"]).select("pair_id", "new", "old", F.lit("crc32").alias("matched_by"))
-    return by_path.unionByName(by_crc)
+    missed = n.join(o.select("pair_id", "path"), ["pair_id", "path"], "left_anti")
+    return by_path.unionByName(finder(missed, o))
 
 
 def similar_by_crc(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -90,12 +97,12 @@ def with_flags(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({f"unc_{side}": F.col("recommendation").isin([r for r, flags in UNCOMPRESS.items() if flags[i]]) for i, side in enumerate(("old", "new"))})
 
 
-def plan_pairs(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
+def plan_pairs(old: DataFrame, new: DataFrame, *modifiers, finder=first_of_crc) -> DataFrame:
     """Matched, classified and, by each modifier in turn, rewritten pairs.
 
     A modifier reads the pairs more than once, so they are written before each.
     """
-    pairs = classify(match_entries(old, new))
+    pairs = classify(match_entries(old, new, finder))
     for m in modifiers:
         pairs = m(cut_lineage(pairs))
     return pairs

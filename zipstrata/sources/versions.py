@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel
+from .tables import table
 
 MOVED, CHANGED = "doc_id % 7 = 0", "doc_id % 5 = 0"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def contents(docs: DataFrame, side: str, entries: int = 1000) -> DataFrame:
