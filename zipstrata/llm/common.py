@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut_lineage
+from ..sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; sf_dir may be any path that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and go on from there.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set
-    (tests, notebooks) is one made below the warehouse.  Never localCheckpoint:
-    those blocks die with their executor.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        spark = df.sparkSession
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+__all__ = ["bounded_sample", "cut_lineage", "shuffle_width", "table"]
 
 
 def shuffle_width(df: DataFrame) -> int:
