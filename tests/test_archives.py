@@ -191,6 +191,30 @@ def test_stream_and_files(spark, tmp_path):
     assert spark.table("seen").count() == 2 * len(SCENARIO)
 
 
+def test_small_tables_are_spread(spark, tmp_path):
+    from zipstrata.sources.tables import spread, table
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    assert table(spark, str(tmp_path), "t").rdd.getNumPartitions() == 8
+    one = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert spread(one, most_bytes=10).rdd.getNumPartitions() == one.rdd.getNumPartitions()
+
+
+def test_another_finder(spark):
+    """Entries without a base by path may get it from any finder."""
+    old = frame(spark, zip_bytes([("/a", FILL.encode(), 6), ("/b", b"other", 0)]))
+    new = frame(spark, zip_bytes([("/c", b"something else", 0)]))
+
+    def largest(missed, olds):
+        best = olds.groupBy("pair_id").agg(F.max_by("old", F.col("old.usize")).alias("old"))
+        return missed.join(best, "pair_id").select("pair_id", "new", "old", F.lit("largest").alias("matched_by"))
+
+    c, d = zipfiles.catalog(old), zipfiles.catalog(new)
+    assert matching.plan_pairs(c, d).isEmpty()
+    r = matching.plan_pairs(c, d, finder=largest).first()
+    assert (r["matched_by"], bytes(r["old"]["path"])) == ("largest", b"/a")
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     import duckdb
