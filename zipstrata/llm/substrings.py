@@ -38,7 +38,7 @@ _BYTE, _WORD = _U(0x9E3779B97F4A7C15 | 1), _U(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _NULL_ID = np.iinfo(np.int64).min
-_CHUNK = 3_000_000  # bytes of text handled at once; a longer text is a chunk of its own
+_CHUNK = 1_500_000  # bytes of text handled at once; a longer text is a chunk of its own
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
