@@ -17,6 +17,6 @@ def spread(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
     tables are left as they lie: their row groups keep all cores busy.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > most_bytes:
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > most_bytes or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(2 * cores)
