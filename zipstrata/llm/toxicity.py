@@ -24,6 +24,7 @@ an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +67,7 @@ class Model:
         if z is None:
             get = self.weights.get
             z = sum(get(f, 0.0) for f in features(w))
-            if len(self.known) < 300_000:
+            if len(self.known) < 100_000:
                 self.known[w] = z
         return z
 
@@ -91,15 +92,58 @@ class Model:
         return -np.expm1(clean), *at, 1 / (1 + np.exp(-worst))
 
 
-def _association(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
+_BUCKETS = 1 << 22
+
+
+def _association(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
     """Signed root of the likelihood-ratio statistic: over 0 if a feature is commoner in toxic documents than in clean ones."""
-    n = n_clean + n_toxic
-    g = 0.0
+    g = np.zeros(len(clean))
+    both = (clean + toxic) / (n_clean + n_toxic)
     for seen, of in ((clean, n_clean), (toxic, n_toxic)):
-        expected = (clean + toxic) * of / n
-        for o, e in ((seen, expected), (of - seen, of - expected)):
-            g += o * np.log(o / e) if o else 0.0
-    return float(np.sqrt(max(2 * g, 0)) * (1 if toxic * n_clean > clean * n_toxic else -1))
+        for o, e in ((seen, both * of), (of - seen, (1 - both) * of)):
+            g += np.where(o > 0, o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)), 0)
+    return np.sqrt(np.maximum(2 * g, 0)) * np.where(toxic * n_clean > clean * n_toxic, 1, -1)
+
+
+def _telling(texts: list[str | None], y: np.ndarray, min_docs: int, least_z: float) -> tuple[dict[str, list[int]], list[str]]:
+    """(word -> numbers of its features that are taken up, features by number).
+
+    Features are first counted in hashed buckets, of which there is a fixed number, and
+    only those in a telling bucket are then counted by name; a few thousand are left of millions.
+    """
+    number: dict[str, int] = {}
+    own = []  # numbers of each document's distinct words
+    for t in texts:
+        words = set(WORD.findall((t or "").lower()))
+        own.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+    bucket = np.full((len(number), len(features("x" * 9))), _BUCKETS, np.int32)
+    for w, i in number.items():
+        for k, f in enumerate(features(w)):
+            bucket[i, k] = zlib.crc32(f.encode()) % _BUCKETS
+    n_clean, n_toxic = int((~y).sum()), int(y.sum())
+
+    def telling(counts: np.ndarray) -> np.ndarray:
+        clean, toxic = counts
+        out = clean + toxic >= min_docs
+        at = np.flatnonzero(out)
+        out[at] = _association(clean[at], toxic[at], n_clean, n_toxic) >= least_z
+        return out
+
+    counts = np.zeros((2, _BUCKETS + 1), np.int32)
+    for words, bad in zip(own, y.tolist()):
+        counts[int(bad), np.unique(bucket[words])] += 1
+    counts[:, _BUCKETS] = 0
+    may = telling(counts)[bucket]
+    names: dict[str, int] = {}
+    held: dict[int, list[int]] = {}  # word number -> features by name
+    every = list(number)
+    for i in np.flatnonzero(may.any(axis=1)).tolist():
+        held[i] = [names.setdefault(f, len(names)) for k, f in enumerate(features(every[i])) if may[i, k]]
+    counts = np.zeros((2, len(names)), np.int32)
+    for words, bad in zip(own, y.tolist()):
+        counts[int(bad), sorted({f for w in words.tolist() if w in held for f in held[w]})] += 1
+    taken = telling(counts)
+    return {every[i]: kept for i, fs in held.items() if (kept := [f for f in fs if taken[f]])}, list(names)
 
 
 def train(texts: list[str | None], toxic: list[int], min_docs: int = 4, least_z: float = 4.0, rounds: int = 150, rate: float = 0.4, l2: float = 2e-6) -> Model:
@@ -108,26 +152,25 @@ def train(texts: list[str | None], toxic: list[int], min_docs: int = 4, least_z:
     if not len(y) or y.all() or not y.any():
         p = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
         return Model({}, float(np.log(p / (1 - p))))
-    bags = []  # of each document: of each sentence its words
-    for t in texts:
-        low = (t or "").lower()
-        bags.append([w for w in (set(WORD.findall(m[0])) for m in SENTENCE.finditer(low)) if w] or [set()])
-    seen: dict[str, list[int]] = {}  # in how many clean and toxic documents
-    for bag, bad in zip(bags, y.tolist()):
-        for f in {f for w in set().union(*bag) for f in features(w)}:
-            seen.setdefault(f, [0, 0])[bad] += 1
-    index = {f: i for i, f in enumerate(f for f, n in seen.items() if sum(n) >= min_docs and _association(*n, int((~y).sum()), int(y.sum())) >= least_z)}
+    of_word, names = _telling(texts, y, min_docs, least_z)
     doc, sentence, feature, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for words in bag:
+    for d, t in enumerate(texts):
+        before = n
+        for m in SENTENCE.finditer((t or "").lower()):
+            words = WORD.findall(m[0])
+            if not words:
+                continue
+            own = {f for w in words if w in of_word for f in of_word[w]}
             doc.append(d)
-            own = {index[f] for w in words for f in features(w) if f in index}
             feature += own
             sentence += [n] * len(own)
             n += 1
+        if n == before:
+            doc.append(d)
+            n += 1
     doc, sentence, feature = np.array(doc), np.array(sentence, np.int64), np.array(feature, np.int64)
-    weights, bias = np.zeros(len(index)), -4.0
-    g2, b2 = np.full(len(index), 1e-8), 1e-8
+    weights, bias = np.zeros(len(names)), -4.0
+    g2, b2 = np.full(len(names), 1e-8), 1e-8
     # both kinds of documents weigh alike
     each = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     bag_of = each[doc]
@@ -136,13 +179,12 @@ def train(texts: list[str | None], toxic: list[int], min_docs: int = 4, least_z:
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(np.bincount(doc, -np.logaddexp(0, z), len(y)))  # of each document: prod(1 - p)
         pull = np.where(y[doc], -clean[doc] / np.maximum(1 - clean[doc], 1e-9) * p, p) * bag_of
-        grad = np.bincount(feature, pull[sentence], len(index)) + l2 * weights
+        grad = np.bincount(feature, pull[sentence], len(names)) + l2 * weights
         g2 += grad**2
         weights = np.maximum(weights - rate * grad / np.sqrt(g2), 0)
         b2 += pull.sum() ** 2
         bias -= rate * pull.sum() / np.sqrt(b2)
     kept = np.flatnonzero(np.abs(weights) > 1e-3)
-    names = list(index)
     return Model({names[i]: float(weights[i]) for i in kept}, float(bias))
 
 
