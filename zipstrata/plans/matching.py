@@ -51,11 +51,18 @@ def match_entries(old: DataFrame, new: DataFrame, finder=first_of_crc) -> DataFr
 
 
 def similar_by_crc(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(pair_id, path, old_path, rank): all old entries with a new entry's checksum, best first."""
-    n = last_of_path(new).select("pair_id", "path", "crc32")
-    o = last_of_path(old).select("pair_id", "crc32", F.col("path").alias("old_path"), "local_off")
-    w = Window.partitionBy("pair_id", "path").orderBy("local_off")
-    return n.join(o, ["pair_id", "crc32"]).withColumn("rank", F.row_number().over(w)).select("pair_id", "path", "old_path", "rank")
+    """(pair_id, base, side, path, rank): entries by checksum, where both archives have it.
+
+    What is similar to a new entry, best first, are the old rows with its base (the
+    first old path of the checksum) by rank.  Classes and members are listed rather
+    than pairs, which grow with the square of a class.
+    """
+    w = Window.partitionBy("pair_id", "crc32").orderBy("local_off")
+    o, n = (last_of_path(c).select("pair_id", "crc32", "path", F.row_number().over(w).alias("rank")) for c in (old, new))
+    base = o.filter("rank = 1").select("pair_id", "crc32", F.col("path").alias("base"))
+    key = ["pair_id", "crc32"]
+    olds = o.join(n.filter("rank = 1").select(*key), key, "left_semi").join(base, key).withColumn("side", F.lit("old"))
+    return olds.unionByName(n.join(base, key).withColumn("side", F.lit("new"))).select("pair_id", "base", "side", "path", "rank")
 
 
 def new_only(old: DataFrame, new: DataFrame) -> DataFrame:

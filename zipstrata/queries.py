@@ -51,7 +51,7 @@ def rename_matches(spark, sf_dir):
 
 
 def similar_entries(spark, sf_dir):
-    """All old entries with a new entry's checksum, ranked."""
+    """Old and new entries with a common checksum, ranked."""
     _, old, new = _both(spark, sf_dir)
     return matching.similar_by_crc(new, old)
 
@@ -311,7 +311,9 @@ ORACLES = {
     "reason_counts": f"WITH {_ENTRIES} SELECT recommendation, reason, count(*) AS pairs FROM p GROUP BY ALL",
     "catalog_dedupe": "SELECT pair_id, path, max(doc_id) AS local_off FROM (SELECT 'a' || (doc_id // 1000) AS pair_id, lang || '/' || (n_chars % 20) AS path, doc_id FROM documents) GROUP BY pair_id, path",
     "rename_matches": f"WITH {_ENTRIES} SELECT pair_id, path AS new_path, o_path AS old_path FROM m WHERE matched_by = 'crc32'",
-    "similar_entries": f"WITH {_ENTRIES} SELECT n.pair_id, n.path, o.path AS old_path, CAST(row_number() OVER (PARTITION BY n.pair_id, n.path ORDER BY o.doc_id) AS INTEGER) AS rank FROM n JOIN o ON n.pair_id = o.pair_id AND n.crc = o.crc",
+    "similar_entries": f"""WITH {_ENTRIES}, k AS (SELECT pair_id, side, crc, path, CAST(row_number() OVER (PARTITION BY side, pair_id, crc ORDER BY doc_id) AS INTEGER) AS rank FROM both2)
+        SELECT k.pair_id, b.path AS base, k.side, k.path, k.rank FROM k JOIN k b ON b.pair_id = k.pair_id AND b.crc = k.crc AND b.side = 'old' AND b.rank = 1
+        WHERE EXISTS (SELECT 1 FROM n WHERE n.pair_id = k.pair_id AND n.crc = k.crc)""",
     "new_only_entries": f"WITH {_ENTRIES} SELECT pair_id, path, usize FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.pair_id = n.pair_id AND o.path = n.path)",
     "recompression_limit": f"WITH RECURSIVE {_ENTRIES}, {_TRL} {_SHOWN} p1",
     "old_blob_limit": f"WITH RECURSIVE {_ENTRIES}, {_PLACES}, {_blob(2, 'p')} {_SHOWN} p2",
