@@ -16,6 +16,7 @@ from ..functions.kernels import kernel
 from ..plans import layout
 from ..plans.matching import plan_pairs
 from ..sources.patchfiles import read_patch, write_patch
+from ..sources.tables import dealt_by
 from ..sources.zipfiles import catalog
 
 
@@ -49,7 +50,8 @@ def generate(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
     """(pair_id, patch) from archives (pair_id, content)."""
     spans = cut_lineage(layout.ranges(patch_plan(old, new, *modifiers)))
     sides = {s: layout.as_arrays(spans.filter(F.col("side") == s).select("pair_id", "offset", "length", "params.*"), "level", "strategy", "nowrap").withColumnRenamed("ops", f"{s}_ops") for s in ("old", "new")}
-    rows = old.select("pair_id", F.col("content").alias("__old")).join(new.select("pair_id", F.col("content").alias("__new")), "pair_id").join(sides["old"], "pair_id", "left").join(sides["new"], "pair_id", "left")
+    contents = [dealt_by(side.select("pair_id", F.col("content").alias(name)), "pair_id") for side, name in ((old, "__old"), (new, "__new"))]
+    rows = contents[0].join(contents[1], "pair_id").join(sides["old"], "pair_id", "left").join(sides["new"], "pair_id", "left")
 
     def make(a, b, old_ops, new_ops):
         return make_patch(bytes(a), bytes(b), [(x["offset"], x["length"]) for x in old_ops or ()], [(x["offset"], x["length"], x["level"], x["strategy"], x["nowrap"]) for x in new_ops or ()])
@@ -60,7 +62,7 @@ def generate(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
 def apply(old: DataFrame, patches: DataFrame) -> DataFrame:
     """(pair_id, content) of the new archives."""
     use = kernel(lambda a, p: use_patch(bytes(a), bytes(p)), "binary")
-    return old.select("pair_id", F.col("content").alias("__old")).join(patches, "pair_id").select("pair_id", use("__old", "patch").alias("content"))
+    return dealt_by(old.select("pair_id", F.col("content").alias("__old")), "pair_id").join(patches, "pair_id").select("pair_id", use("__old", "patch").alias("content"))
 
 
 def write_files(frame: DataFrame, folder: str, column: str) -> DataFrame:

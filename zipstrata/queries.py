@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut_lineage
 from .functions import bindiff, codec, text
 from .functions.kernels import kernel
 from .operators import engine
@@ -235,7 +236,7 @@ def gdiff_apply(spark, sf_dir):
 def patch_roundtrip(spark, sf_dir):
     """Patches between real zip archives, applied: the new archives byte for byte."""
     docs = v.documents(spark, sf_dir)
-    old, new = v.archives(docs, "old"), v.archives(docs, "new")
+    old, new = (cut_lineage(v.archives(docs, side)) for side in ("old", "new"))  # made for this query, and read by each step
     made = engine.apply(old, engine.generate(old, new)).withColumnRenamed("content", "made")
     n = v.contents(docs, "new", 50).groupBy("pair_id").agg(F.count("*").alias("n_entries"))
     return made.join(new, "pair_id").join(n, "pair_id").select("pair_id", (F.col("made") == F.col("content")).alias("identical"), "n_entries")

@@ -20,3 +20,12 @@ def spread(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
     if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > most_bytes or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(2 * cores)
+
+
+def dealt_by(df: DataFrame, column: str) -> DataFrame:
+    """df by a key over all shuffle partitions.
+
+    A join or grouping on the key that follows takes this partitioning.  It is
+    not merged by size afterwards, as rows that are few bytes may be much work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel
-from .tables import table
+from .tables import dealt_by, table
 
 MOVED, CHANGED = "doc_id % 7 = 0", "doc_id % 5 = 0"
 
@@ -72,5 +72,5 @@ def zip_bytes(rows) -> bytes:
 def archives(docs: DataFrame, side: str, entries: int = 50) -> DataFrame:
     """(pair_id, content): zip archives of at most `entries` documents; the new ones list them in reverse."""
     make = kernel(lambda rows: zip_bytes([(r["path"], r["content"].encode(), r["level"]) for r in rows]), "binary")
-    rows = contents(docs, side, entries).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "path", "content", "level")), asc=side == "old").alias("rows"))
+    rows = dealt_by(contents(docs, side, entries), "pair_id").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "path", "content", "level")), asc=side == "old").alias("rows"))
     return rows.select("pair_id", make("rows").alias("content"))
