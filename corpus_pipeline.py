@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zipstrata.llm import packing, quality, simhash, substrings, toxicity
+from zipstrata.llm import packing, quality, similar, substrings, toxicity
 from zipstrata.llm.common import cut_lineage, table
 
 
@@ -26,8 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each SimHash group, as op2 groups them."""
-    return simhash.keep_one(docs)
+    """The document with the least id of each group linked by 0.8 or more of common five-word shingles."""
+    return similar.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,13 +265,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, blocks: tupl
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs, all columns, with the least id of each group only.
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs, all columns, with those rows only whose id names their group (groups: id, component_id).
 
     Of rows that share this id one stays.  Rows with a null id, which nothing can
     tell apart, all stay.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **more)
     kept = cut_lineage(groups.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__rows")))
     out = docs.join(kept.select(id_col), id_col, "left_semi")
     if not kept.filter("__rows > 1").isEmpty():
@@ -279,6 +278,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return out.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """docs, all columns, with the least id of each group only, as keep_least picks it."""
+    return keep_least(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **more), id_col)
+
+
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and group of all documents: three-word shingles, two bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))
