@@ -4,7 +4,7 @@ Each task turns its texts into word hashes and rolls a polynomial hash over all
 windows, whole chunks at a time in NumPy.  Equal windows must meet: a window is
 sent to the bucket of its least hash of `gram` consecutive words, which equal windows share and
 neighbouring windows mostly share too, so a run of some seven windows travels as
-one entry with 32 further bits a window.  Buckets are counted in Spark's
+one entry with the 64 bits of each window's own hash.  Buckets are counted in Spark's
 groupBy; of equal windows all but the first by (id, start) are marked, marked
 windows merge into maximal intervals, and the intervals go back to the texts.
 
@@ -12,7 +12,9 @@ Skew: windows repeated within a chunk are marked on the spot and only the first
 is sent, so a passage that everybody holds is sent once a chunk.  Grams that
 bring together too many *different* windows (a common line within many contexts)
 are found by a counting pass over all texts; their windows go by their own hash
-instead.  That table has at most (windows / hot_windows) entries of 8 bytes.
+instead.  That table has at most (windows / hot_windows) entries of 8 bytes.  A chunk
+leaves out grams that it can hold once only, so a gram that isn't in the table has at most
+hot_windows + (width - gram + 1) * chunks different windows.
 
 Edge cases: null, empty and short texts have no window and lose nothing; texts of
 any length are read whole; rows that repeat an id are taken as one document's
@@ -162,14 +164,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hot_grams(docs: DataFrame, width: int, gram: int, hot_windows: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Grams that are the least of over hot_windows different windows (counted where 64 or more lie in a chunk)."""
+    """Grams that are the least of over hot_windows different windows (counted where a chunk has more of them than one place of a gram can give)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
             _, _, own, least = windows(ids, texts, width, gram)
             _, one = np.unique(own, return_index=True)
             g, n = np.unique(least[one], return_counts=True)
-            often = n >= 64
+            often = n > width - gram + 1
             yield pa.RecordBatch.from_arrays([pa.array(g[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["gram", "n"])
 
     counted = _rows(docs, id_col, text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -204,13 +206,12 @@ def repeated_spans(docs: DataFrame, width: int = 20, gram: int = 8, hot_windows:
             bucket = (least[head] % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            tops = (own >> _U(32)).astype(np.uint32)
             for k in np.flatnonzero(np.diff(ends)):
                 h = order[ends[k] : ends[k + 1]]
                 n = size[h]
                 inside = np.repeat(head[h] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 out.append(int(k))
-                blobs.append(b"\0" + np.int64(len(h)).tobytes() + least[head[h]].tobytes() + doc[head[h]].tobytes() + start[head[h]].tobytes() + n.tobytes() + tops[inside].tobytes())
+                blobs.append(b"\0" + np.int64(len(h)).tobytes() + doc[head[h]].tobytes() + start[head[h]].tobytes() + n.tobytes() + own[inside].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "runs"])
 
     def judge(group: pa.Table) -> pa.Table:
@@ -221,19 +222,18 @@ def repeated_spans(docs: DataFrame, width: int = 20, gram: int = 8, hot_windows:
                 done.append(np.frombuffer(raw, np.int64, offset=1).reshape(3, -1))
             else:
                 m = int.from_bytes(raw[1:9], "little")
-                four = np.frombuffer(raw, np.int64, 4 * m, 9).reshape(4, m)
-                sent.append((four, np.frombuffer(raw, np.uint32, offset=9 + 32 * m)))
+                three = np.frombuffer(raw, np.int64, 3 * m, 9).reshape(3, m)
+                sent.append((three, np.frombuffer(raw, _U, offset=9 + 24 * m)))
         if sent:
-            least, doc, start, n = np.concatenate([s[0] for s in sent], axis=1)
-            tops = np.concatenate([s[1] for s in sent])
+            doc, start, n = np.concatenate([s[0] for s in sent], axis=1)
+            own = np.concatenate([s[1] for s in sent])
             begin = np.cumsum(n) - n
             order = np.lexsort((start, doc))
             n, start, doc = n[order], start[order], doc[order]
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            tops = tops[np.repeat(begin[order], n) + inside]
-            key = _mix(np.repeat(least[order].view(_U), n) ^ tops.astype(_U) * _U(0xD6E8FEB86659FD93))
+            own = own[np.repeat(begin[order], n) + inside]
             doc, start = np.repeat(doc, n), np.repeat(start, n) + inside
-            later = _later(key, doc, start)
+            later = _later(own, doc, start)
             done.append(np.stack(_intervals(doc[later], start[later])))
         i, a, z = np.concatenate(done, axis=1) if done else np.zeros((3, 0), np.int64)
         return pa.table({"id": i, "first": a, "last": z})
