@@ -4,7 +4,9 @@ Two such sets share a shingle among the first n - ceil(0.8 n) + 1 of either, in
 order that all documents use.  Here shingles of over `hot` documents come last and hashes decide
 the rest.  Each document is sent to the buckets of its first shingles as (shingle, key, size);
 documents with equal sets have one key.  All pairs of a shingle's documents that
-sizes allow are compared on their whole sets.  At a shingle of more than `hot`
+sizes allow are counted, and pairs with too few common first shingles for a similarity of 0.8
+dropped: beyond the first shingles of one, they share at most the rest of that one.  The others
+are compared on their whole sets.  At a shingle of more than `hot`
 documents, all are first compared with a few of them; then only those pairs are left
 that aren't in one group already.
 
@@ -27,6 +29,8 @@ from .substrings import _chunks, _rows, windows
 
 _U = np.uint64
 _PIVOTS = 8
+_SURE = 1 << 40  # a count that passes any bound
+_BROADCAST = 1_000_000  # keys sent to all workers at most; beyond, they are joined by a shuffle
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,13 +71,12 @@ def _hot(rows: DataFrame, width: int, hot: int, buckets: int) -> np.ndarray:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
-            g, n = np.unique(shingle_sets(texts, width)[1], return_counts=True)
-            yield _dealt((g % _U(buckets)).astype(np.int64), buckets, g, n)
+            g = shingle_sets(texts, width)[1]
+            yield _dealt((g % _U(buckets)).astype(np.int64), buckets, g)
 
     def count(group: pa.Table) -> pa.Table:
-        g, n = _gathered(group, 2)
-        g, at = np.unique(g, return_inverse=True)
-        return pa.table({"gram": g[np.bincount(at, n) > hot]})
+        g, n = np.unique(_gathered(group, 1)[0], return_counts=True)
+        return pa.table({"gram": g[n > hot]})
 
     found = rows.mapInArrow(send, "bucket int, members binary").groupBy("bucket").applyInArrow(count, "gram long").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(_U))
@@ -91,26 +94,36 @@ def _first(doc: np.ndarray, own: np.ndarray, hot: np.ndarray) -> tuple[np.ndarra
     return order[pick], size[pick]
 
 
-def _pairs(g: np.ndarray, key: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v) of a bucket's pairs, and the members of shingles with over most documents; rows come by (g, size, key)."""
+def _pairs(g: np.ndarray, key: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (u, v, common, beyond, sizes) of a bucket's pairs, and the members of shingles with over most documents.
+
+    Rows come by (g, size, key).  A pair can be similar only if
+    9 * (all its common + beyond) >= 4 * sizes.
+    """
     head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     n = np.diff(np.append(head, len(g)))
     big = np.repeat(n > most, n)
-    at, lag, u, v = np.flatnonzero(~big), 1, [], []
+    at, lag, found = np.flatnonzero(~big), 1, [np.zeros((5, 0), np.int64)]
     while len(at):
         at = at[at + lag < len(g)]
         at = at[g[at] == g[at + lag]]
         at = at[5 * size[at] >= 4 * size[at + lag]]  # sizes rise, so no later one fits either
-        u.append(key[at])
-        v.append(key[at + lag])
+        a, b = key[at], key[at + lag]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.ones(len(at), np.int64), (4 * size[at + lag] + 4) // 5 - 1, size[at] + size[at + lag]]))
         lag += 1
     for h, k in zip(head[n > most], n[n > most]):
         some = key[h : h + k]
         for p in np.sort(some)[:_PIVOTS]:
-            u.append(np.full(k - 1, p))
-            v.append(some[some != p])
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-    return np.minimum(u, v), np.maximum(u, v), np.flatnonzero(big)
+            other = some[some != p]
+            found.append(np.stack([np.minimum(other, p), np.maximum(other, p), np.full(k - 1, _SURE), np.zeros(k - 1, np.int64), np.zeros(k - 1, np.int64)]))
+    found = np.concatenate(found, axis=1)
+    order = np.lexsort((found[1], found[0]))
+    found = found[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)]))[: found.shape[1]]
+    if len(first):
+        common, sizes = np.add.reduceat(found[2], first), np.maximum.reduceat(found[4], first)
+        found = np.stack([*found[:2, first], common, np.maximum.reduceat(found[3], first), sizes])
+    return found, np.flatnonzero(big)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, hot: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,11 +148,10 @@ def similar_groups(docs: DataFrame, width: int = 5, hot: int = 200, id_col: str
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
         g, key, size = g[new], key[new], size[new]
-        u, v, big = _pairs(g, key, size, hot)
-        if len(u):
-            u, v = np.unique(np.stack([u, v]), axis=1)
-        size = np.concatenate([np.zeros(len(u), np.int64), size[big]])
-        return pa.table({"u": np.concatenate([u, g[big]]), "v": np.concatenate([v, key[big]]), "size": size})
+        found, big = _pairs(g, key, size, hot)
+        none = np.zeros(len(big), np.int64)
+        both = np.concatenate([np.concatenate([found, np.zeros((1, found.shape[1]), np.int64)]), np.stack([g[big], key[big], none, none, none, size[big]])], axis=1)
+        return pa.table(dict(zip(["u", "v", "common", "beyond", "sizes", "size"], both)))
 
     def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,15 +180,18 @@ def similar_groups(docs: DataFrame, width: int = 5, hot: int = 200, id_col: str
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole sets are similar enough."""
         pairs = cut_lineage(pairs.select("u", "v").distinct())
-        wanted = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+        wanted = cut_lineage(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
+        if wanted.count() <= _BROADCAST:
+            wanted = F.broadcast(wanted)
         sets = rows.mapInArrow(set_of, "key long, shingles array<long>").join(wanted, "key", "left_semi")
         sets = cut_lineage(sets.groupBy("key").agg(F.first("shingles").alias("shingles")))
         both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return cut_lineage(both.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
 
-    met = cut_lineage(rows.mapInArrow(send, "bucket int, members binary").groupBy("bucket").applyInArrow(meet, "u long, v long, size long"))
-    links = verified(met.filter("size = 0"))
+    met = cut_lineage(rows.mapInArrow(send, "bucket int, members binary").groupBy("bucket").applyInArrow(meet, "u long, v long, common long, beyond long, sizes long, size long"))
+    counted = met.filter("size = 0").groupBy("u", "v").agg(F.sum("common").alias("common"), F.max("beyond").alias("beyond"), F.max("sizes").alias("sizes"))
+    links = verified(counted.filter("9 * (common + beyond) >= 4 * sizes"))
     roots = components(links)
     big = met.filter("size > 0")
     if not big.isEmpty():
