@@ -57,7 +57,8 @@ BASE_SURE = {"cc-by": 0.9, "gpl": 0.95, "reserved": 0.7}
 TAG = "spdx license identifier"
 TAG_SURE = 0.99
 
-_EXPRESSION = re.compile(r"spdx-license-identifier\s*:\s*((?:[()\s]*[\w.+:-]+[()]*[ \t]*)+)", re.I)
+# an expression ends with its line or before the next tag
+_EXPRESSION = re.compile(r"spdx-license-identifier\s*:\s*+((?:(?:[()]|[^\S\r\n])*+(?!spdx-license-identifier\s*:)[\w.+:-]+[()]*+)+)", re.I)
 _PART = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _TIGHTNESS = {"or": 1, "and": 2, "with": 3}
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -118,7 +119,7 @@ def tag_labels(text: str) -> set[str]:
     """Identifiers of all tagged expressions of a text."""
     found: set[str] = set()
     for m in _EXPRESSION.finditer(text):
-        line = m[1].split("\n")[0]
+        line = m[1]
         try:
             found.update(*evaluate(parse_expression(line)))
         except ValueError:
@@ -146,7 +147,7 @@ def scan(text: str | None, automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base labels, labels, score) of one text."""
     words = (text or "").encode().translate(_TO_WORDS).split()
     joined = f" {b' '.join(words).decode('latin-1')} "
-    n_base, first, last, base, sure = 0, None, None, set(), {}
+    n_base, first, last, base, sure, tagged = 0, None, None, set(), {}, False
     for end, phrase in automaton.iter(joined):
         if phrase in BASE:
             at = end - len(phrase) - 1  # of the space before it
@@ -158,8 +159,9 @@ def scan(text: str | None, automaton) -> tuple:
         if phrase in NOTICES:
             label, p = NOTICES[phrase]
             sure[label] = max(sure.get(label, 0), p)
-        if phrase == TAG:
-            sure |= dict.fromkeys(tag_labels(text), TAG_SURE)
+        tagged |= phrase == TAG
+    if tagged:
+        sure |= dict.fromkeys(tag_labels(text), TAG_SURE)
     if first is not None:
         first, last = joined.count(" ", 0, first), joined.count(" ", 0, last)
     score = 1 - float(np.prod([1 - p for p in sure.values()])) if sure else 0.0
