@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, shuffle_width
 from .simhash import components, keep_least
-from .substrings import _chunks, _rows, windows
+from .substrings import _CHUNK, _chunks, _rows, windows
 
 _U = np.uint64
 _PIVOTS = 8
@@ -52,6 +52,15 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return doc, own, keys
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (id, text) of about _CHUNK bytes of text."""
+    sizes = np.array([len(t.as_py() or "") for t in batch.column(1)], np.int64)
+    part = np.cumsum(sizes) // _CHUNK
+    ends = [*np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    for a, b in zip([0, *ends], ends):
+        yield batch.slice(a, b - a)
+
+
 def _dealt(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
     """One row (bucket, columns one behind the other) for each bucket that isn't empty."""
     order = np.argsort(bucket, kind="stable")
@@ -154,7 +163,7 @@ def similar_groups(docs: DataFrame, width: int = 5, hot: int = 200, id_col: str
         return pa.table(dict(zip(["u", "v", "common", "beyond", "sizes", "size"], both)))
 
     def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in _parts(batch)):
             keys = shingle_sets([(t.as_py() or "").encode() for t in b.column(1)], width)[2]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys.view(np.int64))], [id_col, "key"])
 
