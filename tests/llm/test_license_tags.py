@@ -9,3 +9,10 @@ def test_tags_on_consecutive_lines():
     assert licenses.tag_labels(f"{tag}MIT\nplain words in a line\n\n{tag}(GPL-2.0-only OR\xa0BSD-3-Clause)\n# end") == {"mit", "gpl-2.0-only", "bsd-3-clause"}
     assert licenses.tag_labels(f"{tag}MIT {tag}Zlib") == {"mit", "zlib"}
     assert licenses.tag_labels(f"{tag}\n{tag}MIT") == {"mit"}
+
+
+def test_all_identifiers_of_many_choices():
+    tag = "SPDX-License-Identifier: "
+    assert licenses.tag_labels(tag + "(" + " OR ".join(f"a{i}" for i in range(65)) + ") AND b") == {"b", *(f"a{i}" for i in range(65))}
+    assert licenses.tag_labels(tag + " AND ".join(f"(x{i} OR y{i})" for i in range(40))) == {f"{c}{i}" for c in "xy" for i in range(40)}
+    assert licenses.identifiers(licenses.parse_expression("(a OR b) AND c WITH d")) == {"a", "b", "c with d"}

@@ -111,7 +111,19 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
         elif part == "with":
             stack.append([frozenset(f"{a} with {b}" for a in x for b in y) for x in left for y in right])
         else:
-            stack.append(list(dict.fromkeys(x | y for x in left for y in right))[:64])  # choices of one line
+            stack.append(list(dict.fromkeys(x | y for x in left for y in right)))
+    return stack[0]
+
+
+def identifiers(postfix: list[str]) -> set[str]:
+    """All identifiers (and WITH pairs) of an expression's choices, without making the choices."""
+    stack: list[set[str]] = []
+    for part in postfix:
+        if part not in _TIGHTNESS:
+            stack.append({part})
+            continue
+        right, left = stack.pop(), stack.pop()
+        stack.append({f"{a} with {b}" for a in left for b in right} if part == "with" else left | right)
     return stack[0]
 
 
@@ -121,12 +133,12 @@ def tag_labels(text: str) -> set[str]:
     for m in _EXPRESSION.finditer(text):
         line = m[1]
         try:
-            found.update(*evaluate(parse_expression(line)))
+            found |= identifiers(parse_expression(line))
         except ValueError:
             parts = _PART.findall(line)
             for end in range(len(parts) - 1, 0, -1):  # prose may follow the expression
                 try:
-                    found.update(*evaluate(parse_expression(" ".join(parts[:end]))))
+                    found |= identifiers(parse_expression(" ".join(parts[:end])))
                     break
                 except ValueError:
                     continue
