@@ -37,4 +37,34 @@ def test_a_gram_of_few_windows_a_chunk_is_hot(spark):
     docs = spark.createDataFrame([(k, text(k)) for k in range(8)], "doc_id long, text string").repartition(8, "doc_id").cache()
     chunks = docs.rdd.glom().filter(lambda x: len(x) > 0).count()
     assert chunks > 3
-    assert len(substrings.hot_grams(docs, 20, 8, 150)) == 1
+    rows = substrings._rows(docs, "doc_id", "text")
+    assert len(substrings.hot_grams(rows, 20, 8, 150, *substrings.extent(rows))) == 1
+
+
+def test_a_gram_spread_thinly_over_all_chunks_is_hot(spark, monkeypatch):
+    """Once a text, a text a chunk: no chunk and no task holds many of its windows."""
+    monkeypatch.setattr(substrings, "_CHUNK", 10)
+    monkeypatch.setattr(substrings, "_COUNTED", 100)
+    grams = [" ".join(f"g{s}w{i}" for i in range(8)).encode() for s in range(20_000)]
+    gram = grams[int(substrings.windows(np.arange(len(grams)), grams, 8, 8)[2].argmin())].decode()
+    text = lambda k: " ".join([*(f"a{k}c{i}" for i in range(12)), gram, *(f"d{k}f{i}" for i in range(12))])
+    data = [(k, text(k)) for k in range(300)] + [(1000 + k, text(k)) for k in range(0, 300, 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(20)
+    rows = substrings._rows(docs, "doc_id", "text")
+    hot = substrings.hot_grams(rows, 20, 8, 2000, *substrings.extent(rows))
+    assert len(hot) == 1  # 300 texts * 13 windows
+    got = pairs(substrings.removal_digests(docs, hot_windows=2000), "n_words", "n_removed", "kept_sha256")
+    assert got == {i: (n, g, hashlib.sha256(k).hexdigest()) for (i, _), (n, g, k) in zip(data, brute_removal(data, 20))}
+
+
+def test_rows_that_share_an_id(spark):
+    """Null and repeated ids with different texts: each row loses what its own windows repeat, and nothing else."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(None, a), (None, b), (7, a + " more"), (7, b), (7, b), (8, "x " + a), (9, a), (None, None), (3, ""), (7, " ".join(f"c{i}" for i in range(60)))]
+    docs = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in data], "doc_id long, text string, id_key int, Tie int, spans int").repartition(3)
+    out = substrings.remove_repeats(docs)
+    assert out.columns == docs.columns
+    want = [(i, kept.decode() if removed else t) for (i, t), (_, removed, kept) in zip(data, brute_removal(data, 20))]
+    assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in out.collect()])) == sorted(map(repr, want))
+    digests = [(r["doc_id"], r["kept_sha256"]) for r in substrings.removal_digests(docs).collect()]
+    assert sorted(map(repr, digests)) == sorted(repr((i, hashlib.sha256(k).hexdigest())) for (i, _), (_, _, k) in zip(data, brute_removal(data, 20)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut_lineage
 from ..sources.tables import table
 
-__all__ = ["bounded_sample", "cut_lineage", "shuffle_width", "table"]
+__all__ = ["bounded_sample", "cut_lineage", "shuffle_width", "table", "unused"]
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -16,6 +16,14 @@ def shuffle_width(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     """The n rows with the least hash of their id (all, if there are fewer).
 

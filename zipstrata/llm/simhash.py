@@ -16,11 +16,15 @@ links in n log n.  An anchor answers with a link from each linked member to one
 its group (n at most, not n * n).  Components then come from alternating large-star and
 small-star steps on these links.
 
+Skew: an anchor with over `hot_members` copies (boilerplate clusters) is not
+held by one task.  Fingerprints that would meet there meet at the members of their own balls of
+radius one instead: 65 keys each, and a key has 65 holders at most.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; texts under the shingle width are one shingle; rows with a null id are
 grouped but never name a group (null if nobody else can); repeated rows and ids are
 rows of their own; an empty table gives an empty result; very long texts are
-hashed whole, in slices.
+hashed whole, in slices; names of other columns can't clash.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shuffle_width, table
+from .common import cut_lineage, shuffle_width, table, unused
+from .substrings import dealt, document_key
 
 #: Name -> length, generator polynomial, covering radius of a perfect cyclic code.
 CODES = {"golay23": (23, 0b101011100011, 3), "hamming15": (15, 0b10011, 1), "hamming7": (7, 0b1011, 1)}
@@ -136,29 +141,39 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_FLIPS = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
+
+
+def _near_at(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places) of holders of the same key within most bits; a key has a bounded number of holders."""
+    order = np.argsort(key, kind="stable")
+    at, lag, found = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)]
+    while len(at):
+        at = at[at + lag < len(key)]
+        at = at[key[order[at]] == key[order[at + lag]]]
+        near = at[np.bitwise_count(fps[order[at]] ^ fps[order[at + lag]]) <= most]
+        found.append(order[np.stack([near, near + lag])])
+        if most == 2:  # all holders of a ball member are within two bits, so neighbours are links enough
+            break
+        lag += 1
+    return tuple(np.concatenate(found, axis=1))
+
+
 def _many(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all of fps within most bits of each other into their groups, without making pairs."""
-    if most != 2 or len(fps) <= 1500:
-        found = []
-        for i in range(len(fps) - 1):
-            j = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most) + i + 1
-            found.append((np.full(len(j), i), j))
-        return tuple(np.concatenate(x) for x in zip(*found))
-    flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
+    """Links that join all of fps within most bits (two at most) of each other into their groups; no pairs but within balls are made."""
     found = []
     slices = 1 + len(fps) // 20_000
     for part in range(slices):  # by the ball members' hash, so that a slice has all holders of a member
         keys, who = [], []
-        for f in flips:
+        for f in _FLIPS:
             k = fps ^ f
-            mine = np.flatnonzero((k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(slices) == part)
+            mine = np.flatnonzero((k * _SPREAD >> np.uint64(40)) % np.uint64(slices) == part)
             keys.append(k[mine])
             who.append(mine)
         k, w = np.concatenate(keys), np.concatenate(who)
-        order = np.argsort(k, kind="stable")
-        k, w = k[order], w[order]
-        same = np.flatnonzero(k[1:] == k[:-1])
-        found.append((w[same], w[same + 1]))
+        x, y = _near_at(k, fps[w], most)
+        found.append((w[x], w[y]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -183,7 +198,11 @@ def links_at_anchors(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, most
         x, y = _many(fps[first[i] : first[i] + size[i]], most)
         a.append(x + first[i])
         b.append(y + first[i])
-    a, b = np.concatenate(a), np.concatenate(b)
+    return _stars(fps, np.concatenate(a), np.concatenate(b))
+
+
+def _stars(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, least of its group) for links a-b, which are places in fps."""
     if not len(a):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     nodes, ids = np.unique(np.concatenate([fps[a], fps[b]]), return_inverse=True)
@@ -192,8 +211,51 @@ def links_at_anchors(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, most
     return nodes[member], nodes[label[member]]
 
 
-def _links(distinct: DataFrame, most: int, blocks: tuple[str, ...], buckets: int) -> DataFrame:
-    """(u, v) star links between distinct fingerprints (column fp)."""
+def hot_anchors(distinct: DataFrame, most: int, blocks: tuple[str, ...], hot_members: int, n: int, partitions: int, most_hot: int = 1_000_000) -> np.ndarray:
+    """Anchors with over `hot` copies of fingerprints, where hot is hot_members or the copies' number / most_hot, the larger.
+
+    A task hands on anchors with over hot / (2 * tasks) copies; what is kept back adds up to hot / 2 at
+    most, so none with over hot copies is missed and the table has at most 2 * most_hot entries.
+    """
+    a_word = len(anchors(np.zeros(1, np.uint64), most, blocks)[0])
+    hot = max(hot_members, n * a_word // most_hot)
+    tasks = partitions + n // 20_000 // 50
+    least_count = hot // (2 * tasks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def often() -> pa.RecordBatch:
+            a, c = np.unique(np.concatenate(held), return_counts=True)
+            k = c > least_count
+            return pa.RecordBatch.from_arrays([pa.array(a[k]), pa.array(c[k])], ["anchor", "n"])
+
+        for b in batches:
+            whole = b.column(0).to_numpy().view(np.uint64)
+            for i in range(0, len(whole), 20_000):
+                held.append(anchors(whole[i : i + 20_000], most, blocks)[1])
+                if sum(map(len, held)) > 50 * 20_000 * a_word // 8:
+                    yield often()
+                    held = []
+        if held:
+            yield often()
+
+    counted = distinct.select("fp").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r[0] for r in counted.filter(F.col("n") > hot // 2).select("anchor").collect()], np.int64))
+
+
+def links(distinct: DataFrame, most: int = 2, blocks: tuple[str, ...] = ("golay23", "golay23"), hot_members: int = 500_000) -> DataFrame:
+    """(u, v) star links between distinct fingerprints (column fp) within most bits, two at most."""
+    if not 0 <= most <= 2:
+        raise ValueError("at most two differing bits")
+    n, last = distinct.select(F.spark_partition_id().alias("part")).agg(F.count("*"), F.max("part")).first()
+    # an anchor can't hold more copies than there are fingerprints
+    hot = hot_anchors(distinct, most, blocks, hot_members, n, last + 1) if n > hot_members else np.zeros(0, np.int64)
+    buckets = max(4 * shuffle_width(distinct), n // 4000)
+
+    def rows(kind: bytes, key: np.ndarray, home: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        for k, o in dealt((key.astype(np.uint64) * _SPREAD >> np.uint64(33)).astype(np.int64) % buckets):
+            yield k, kind + key[o].tobytes() + fps[o].tobytes() + home[o].tobytes()
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,25 +263,30 @@ def _links(distinct: DataFrame, most: int, blocks: tuple[str, ...], buckets: int
             for i in range(0, len(whole), 20_000):
                 fps = whole[i : i + 20_000]
                 row, anchor, home = anchors(fps, most, blocks)
-                bucket = (anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(ends))
-                blobs = []
-                for k in full:
-                    o = order[ends[k] : ends[k + 1]]
-                    blobs.append((anchor[o] << 1 | home[o]).tobytes() + fps[row[o]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "members"])
+                out = []
+                if len(hot):
+                    crowded = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+                    alone = fps[np.unique(row[crowded])]
+                    row, anchor, home = row[~crowded], anchor[~crowded], home[~crowded]
+                    balls = (alone[:, None] ^ _FLIPS).ravel()
+                    out += rows(b"\1", balls, np.zeros(len(balls), bool), np.repeat(alone, len(_FLIPS)))
+                out += rows(b"\0", anchor, home, fps[row])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "members"])
 
     def compare(group: pa.Table) -> pa.Table:
-        marked, fps = [], []
+        met = {0: [], 1: []}
         for blob in group.column("members"):
-            x = np.frombuffer(blob.as_py(), np.int64)
-            marked.append(x[: len(x) // 2])
-            fps.append(x[len(x) // 2 :].view(np.uint64))
-        m = np.concatenate(marked)
-        u, v = links_at_anchors(m >> 1, np.concatenate(fps), (m & 1).astype(bool), most)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+            raw = blob.as_py()
+            m = (len(raw) - 1) // 17
+            met[raw[0]].append((np.frombuffer(raw, np.uint64, m, 1), np.frombuffer(raw, np.uint64, m, 1 + 8 * m), np.frombuffer(raw, bool, m, 1 + 16 * m)))
+        u, v = [], []
+        for kind, parts in met.items():
+            if parts:
+                key, fps, home = (np.concatenate(x) for x in zip(*parts))
+                x, y = _stars(fps, *_near_at(key, fps, most)) if kind else links_at_anchors(key, fps, home, most)
+                u.append(x)
+                v.append(y)
+        return pa.table({"u": np.concatenate(u).view(np.int64), "v": np.concatenate(v).view(np.int64)})
 
     copies = distinct.select("fp").mapInArrow(copy, "bucket int, members binary")
     return copies.groupBy("bucket").applyInArrow(compare, "u long, v long")
@@ -246,41 +313,35 @@ def components(links: DataFrame) -> DataFrame:
     return now
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, blocks: tuple[str, ...] = ("golay23", "golay23"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def named_groups(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """rows (id, ..., node) with component_id, the least id of the rows whose nodes have one root.
+
+    roots: (u, v), nodes that have another root than themselves.  Nodes are joined, not rows: rows of
+    one node (exact copies) are counted as one, and a node with very many rows is split by a salt.
+    """
+    distinct = rows.groupBy("node").agg(F.min(id_col).alias("least"))
+    rooted = distinct.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("v", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_node = rooted.join(named, "root").select("node", "root", "component_id")
+    salts = 16
+    salted = by_node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.col("tie"), F.lit(salts)).cast("int")).join(salted, ["node", "salt"]).drop("salt")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, blocks: tuple[str, ...] = ("golay23", "golay23"), id_col: str = "doc_id", text_col: str = "text", hot_members: int = 500_000) -> DataFrame:
     """(id, fingerprint hex, component_id) of every row.
 
-    width: words a shingle; most: differing bits that still link.  blocks: codes
+    width: words a shingle; most: differing bits that still link (two at most).  blocks: codes
     whose product gives the anchors; two Golay codes make 2**24 anchors and about 61
     copies of a distinct fingerprint; for over about 10**8 distinct ones add
     "hamming15" (2**35 anchors, about 150 copies).
     """
     if sum(CODES[b][0] for b in blocks) > 64:
         raise ValueError("the blocks have more than 64 bits")
-    rows = cut_lineage(fingerprints(docs, width, id_col, text_col))
-    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(_links(distinct, most, blocks, 4 * shuffle_width(docs)))
-    rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, all columns, with those rows only whose id names their group (groups: id, component_id).
-
-    Of rows that share this id one stays.  Rows with a null id, which nothing can
-    tell apart, all stay.
-    """
-    kept = cut_lineage(groups.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__rows")))
-    out = docs.join(kept.select(id_col), id_col, "left_semi")
-    if not kept.filter("__rows > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs, all columns, with the least id of each group only, as keep_least picks it."""
-    return keep_least(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **more), id_col)
+    # a row's own number deals out rows of one fingerprint
+    rows = cut_lineage(fingerprints(docs, width, id_col, text_col).withColumnRenamed("fp", "node").withColumn("tie", F.monotonically_increasing_id()))
+    roots = components(links(rows.select(F.col("node").alias("fp")).distinct(), most, blocks, hot_members))
+    return named_groups(rows, roots, id_col).select(id_col, F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

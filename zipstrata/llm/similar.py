@@ -1,17 +1,24 @@
-"""Groups of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, exactly.
-
-Two such sets share a shingle among the first n - ceil(0.8 n) + 1 of either, in any
-order that all documents use.  Here shingles of over `hot` documents come last and hashes decide
-the rest.  Each document is sent to the buckets of its first shingles as (shingle, key, size);
-documents with equal sets have one key.  All pairs of a shingle's documents that
-sizes allow are counted, and pairs with too few common first shingles for a similarity of 0.8
-dropped: beyond the first shingles of one, they share at most the rest of that one.  The others
-are compared on their whole sets.  At a shingle of more than `hot`
-documents, all are first compared with a few of them; then only those pairs are left
-that aren't in one group already.
+"""Groups of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates come in two ways, and whole sets decide.  SimHash fingerprints of the
+same shingles that meet at an anchor (see simhash) give most near copies, and all
+links within crowds of them, without pairs.  Sets of similarity 0.8 differ in some 10 of 64 bits,
+though, and covering so many would copy each fingerprint to thousands of anchors, so
+the rest comes from an exact way: two such sets share a shingle among the
+first n - ceil(0.8 n) + 1 of either, in any order that all documents use.  Here shingles of over
+`hot` documents come last and hashes decide the rest.  Each document is sent to the buckets of its
+first shingles as (shingle, key, size); documents with equal sets have one key.
+All pairs of a shingle's documents that sizes allow are counted, and pairs with too few common first shingles
+for a similarity of 0.8 dropped: beyond the first shingles of one, they share at
+most the rest of that one.  The others are compared on their whole sets.  At a shingle of more
+than `hot` documents, all are first compared with a few of them; then only those
+pairs are left that aren't in one group already.
 
 Edge cases: texts under the shingle width are one shingle; null and empty texts are
-one empty set; ids are treated as by simhash.keep_one.
+one empty set, a group of its own; a row is told by its id and the hash of its text; of each group
+keep_one() leaves the row with the least (id, hash), null ids last, and one of rows alike
+in both; an empty table gives an empty result; names of other columns can't clash;
+texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -23,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shuffle_width
-from .simhash import components, keep_least
-from .substrings import _CHUNK, _chunks, _rows, windows
+from . import simhash
+from .common import cut_lineage, shuffle_width, unused
+from .substrings import _BUCKET, _CHUNK, _chunks, _rows, dealt, document_key, extent, windows
 
 _U = np.uint64
 _PIVOTS = 8
@@ -53,48 +60,67 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch (id, text) of about _CHUNK bytes of text."""
-    sizes = np.array([len(t.as_py() or "") for t in batch.column(1)], np.int64)
+    """Slices of a batch (..., text) of about _CHUNK bytes of text."""
+    sizes = np.array([len(t.as_py() or "") for t in batch.column(batch.num_columns - 1)], np.int64)
     part = np.cumsum(sizes) // _CHUNK
     ends = [*np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
     for a, b in zip([0, *ends], ends):
         yield batch.slice(a, b - a)
 
 
-def _dealt(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row (bucket, columns one behind the other) for each bucket that isn't empty."""
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(ends))
-    sorted_ = [c[order].view(np.int64) for c in columns]
-    blobs = [b"".join(c[ends[k] : ends[k + 1]].tobytes() for c in sorted_) for k in full]
+def _names(own: np.ndarray, buckets: int) -> np.ndarray:
+    """A shingle as its bucket and 32 more bits of its hash, so that only those bits need to travel.
+
+    Two shingles that share a name only add to what is counted, as whole sets decide.
+    """
+    return (own % _U(buckets) << _U(32) | own >> _U(32)).view(np.int64)
+
+
+def _dealt(names: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row (bucket, 32 bits of names, then the columns, one behind the other) for each bucket that isn't empty."""
+    full, blobs = [], []
+    for k, o in dealt(names >> 32):
+        full.append(k)
+        blobs.append(b"".join([(names[o] & 0xFFFFFFFF).astype(np.uint32).tobytes(), *(c[o].tobytes() for c in columns)]))
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "members"])
 
 
-def _gathered(group: pa.Table, columns: int) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b.as_py(), np.int64).reshape(columns, -1) for b in group.column("members")], axis=1)
+def _gathered(group: pa.Table, *kinds: type) -> list[np.ndarray]:
+    """Names of a bucket's shingles, and the columns that _dealt() sent with them."""
+    parts = []
+    every = (np.uint32, *kinds)
+    wide = sum(np.dtype(k).itemsize for k in every)
+    for blob in group.column("members"):
+        raw, at = blob.as_py(), 0
+        m = len(raw) // wide
+        parts.append([])
+        for k in every:
+            parts[-1].append(np.frombuffer(raw, k, m, at))
+            at += m * np.dtype(k).itemsize
+    out = [np.concatenate(x) for x in zip(*parts)]
+    out[0] = out[0].astype(np.int64) | group.column("bucket")[0].as_py() << 32
+    return out
 
 
-def _hot(rows: DataFrame, width: int, hot: int, buckets: int) -> np.ndarray:
-    """Shingles of over hot documents, sorted; all are counted."""
+def _common(rows: DataFrame, width: int, hot: int, buckets: int) -> np.ndarray:
+    """Names of shingles of over hot documents, sorted; all are counted."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches):
-            g = shingle_sets(texts, width)[1]
-            yield _dealt((g % _U(buckets)).astype(np.int64), buckets, g)
+        for c in _chunks(batches):
+            yield _dealt(_names(shingle_sets(c.texts, width)[1], buckets))
 
     def count(group: pa.Table) -> pa.Table:
-        g, n = np.unique(_gathered(group, 1)[0], return_counts=True)
+        g, n = np.unique(_gathered(group)[0], return_counts=True)
         return pa.table({"gram": g[n > hot]})
 
     found = rows.mapInArrow(send, "bucket int, members binary").groupBy("bucket").applyInArrow(count, "gram long").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(_U))
+    return np.sort(np.array([r[0] for r in found], np.int64))
 
 
-def _first(doc: np.ndarray, own: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of a chunk's shingles are among the first ones of their text, and the size of each one's set."""
-    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(len(own), bool)
-    order = np.lexsort((own, late, doc))
+def _first(doc: np.ndarray, names: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a chunk's shingles are among the first ones of their text (those in late come last), and the size of each one's set."""
+    last = late[np.minimum(np.searchsorted(late, names), len(late) - 1)] == names if len(late) else np.zeros(len(names), bool)
+    order = np.lexsort((names, last, doc))
     begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[: len(doc)]
     n = np.diff(np.append(begin, len(doc)))
     place = np.arange(len(doc)) - np.repeat(begin, n)
@@ -135,52 +161,78 @@ def _pairs(g: np.ndarray, key: np.ndarray, size: np.ndarray, most: int) -> tuple
     return found, np.flatnonzero(big)
 
 
-def similar_groups(docs: DataFrame, width: int = 5, hot: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every row: groups linked by a similarity of 0.8 or more."""
+def _fingerprints(rows: DataFrame, width: int) -> DataFrame:
+    """(id, tie, key, fp) of every row of (id, tie, text): its set's key and its SimHash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in _parts(batch)):
+            texts = [t.as_py() or "" for t in b.column(2)]
+            keys = shingle_sets([t.encode() for t in texts], width)[2]
+            fp = np.array([simhash.fingerprint(t, width) for t in texts], _U)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), pa.array(fp.view(np.int64))], ["id", "tie", "key", "fp"])
+
+    return cut_lineage(rows.mapInArrow(run, "id long, tie long, key long, fp long"))
+
+
+def _simhash_pairs(printed: DataFrame, most: int) -> DataFrame:
+    """(u, v): keys whose fingerprints are alike or linked at an anchor; of the keys of one fingerprint each with the least."""
+    keys = cut_lineage(printed.select("key", "fp").distinct())
+    least = keys.groupBy("fp").agg(F.min("key").alias("least"))
+    alike = keys.join(least, "fp").filter("key <> least").select("key", F.col("least").alias("other"))
+    met = simhash.links(least.select("fp"), most)
+    ends = met.join(least.select(F.col("fp").alias("u"), F.col("least").alias("key")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("other")), "v")
+    return alike.unionByName(ends.select("key", "other")).select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v"))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, common: int = 200, crowd: int = 200, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tie, root) of every row: groups linked by a similarity of 0.8 or more have one root; id and tie as document_key() has them.
+
+    common: documents of a shingle that comes last; crowd: documents of a shingle beyond which not all
+    its pairs are counted at once; most: differing bits of fingerprints that are candidates.
+    """
     rows = _rows(docs, id_col, text_col)
-    buckets = 4 * shuffle_width(docs)
-    late = _hot(rows, width, hot, buckets)
+    size, _ = extent(rows)
+    buckets = max(4 * shuffle_width(docs), size // _BUCKET)
+    printed = _fingerprints(rows, width)
+    late = _common(rows, width, common, buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches):
-            doc, own, keys = shingle_sets(texts, width)
-            one = np.zeros(len(texts), bool)
+        for c in _chunks(batches):
+            doc, own, keys = shingle_sets(c.texts, width)
+            one = np.zeros(len(c.texts), bool)
             one[np.unique(keys, return_index=True)[1]] = True
-            doc, own = doc[one[doc]], own[one[doc]]
-            x, size = _first(doc, own, late)
-            yield _dealt((own[x] % _U(buckets)).astype(np.int64), buckets, own[x], keys[doc[x]], size)
+            doc, names = doc[one[doc]], _names(own[one[doc]], buckets)
+            x, n = _first(doc, names, late)
+            yield _dealt(names[x], keys[doc[x]].view(np.int64), n.astype(np.int32))
 
     def meet(group: pa.Table) -> pa.Table:
-        g, key, size = _gathered(group, 3)
-        order = np.lexsort((key, size, g))
-        g, key, size = g[order], key[order], size[order]
+        g, key, n = _gathered(group, np.int64, np.int32)
+        n = n.astype(np.int64)
+        order = np.lexsort((key, n, g))
+        g, key, n = g[order], key[order], n[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
-        g, key, size = g[new], key[new], size[new]
-        found, big = _pairs(g, key, size, hot)
+        g, key, n = g[new], key[new], n[new]
+        found, big = _pairs(g, key, n, crowd)
         none = np.zeros(len(big), np.int64)
-        both = np.concatenate([np.concatenate([found, np.zeros((1, found.shape[1]), np.int64)]), np.stack([g[big], key[big], none, none, none, size[big]])], axis=1)
+        both = np.concatenate([np.concatenate([found, np.zeros((1, found.shape[1]), np.int64)]), np.stack([g[big], key[big], none, none, none, n[big]])], axis=1)
         return pa.table(dict(zip(["u", "v", "common", "beyond", "sizes", "size"], both)))
 
-    def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in _parts(batch)):
-            keys = shingle_sets([(t.as_py() or "").encode() for t in b.column(1)], width)[2]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys.view(np.int64))], [id_col, "key"])
-
     def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches):
-            doc, own, keys = shingle_sets(texts, width)
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            sets = pa.LargeListArray.from_arrays(ends, own.view(np.int64)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), sets], ["key", "shingles"])
+        for c in _chunks(batches):
+            doc, own, keys = shingle_sets(c.texts, width)
+            ends = np.searchsorted(doc, np.arange(len(c.texts) + 1))
+            one = np.sort(np.unique(keys, return_index=True)[1])
+            for k in one.tolist():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 1].view(np.int64)), pa.array([own[ends[k] : ends[k + 1]].view(np.int64)], pa.list_(pa.int64()))], ["key", "shingles"])
 
     def rest(group: pa.Table) -> pa.Table:
-        key, size, root = (group.column(c).to_numpy() for c in ("v", "size", "root"))
-        order = np.argsort(size, kind="stable")
-        key, size, root = key[order], size[order], root[order]
+        key, n, root = (group.column(c).to_numpy() for c in ("v", "size", "root"))
+        order = np.argsort(n, kind="stable")
+        key, n, root = key[order], n[order], root[order]
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(key) - 1 if (root != root[0]).any() else 0):
-            j = np.arange(i + 1, np.searchsorted(4 * size, 5 * size[i], "right"))
+            j = np.arange(i + 1, np.searchsorted(4 * n, 5 * n[i], "right"))
             j = j[root[j] != root[i]]
             u.append(np.minimum(key[i], key[j]))
             v.append(np.maximum(key[i], key[j]))
@@ -200,20 +252,28 @@ def similar_groups(docs: DataFrame, width: int = 5, hot: int = 200, id_col: str
 
     met = cut_lineage(rows.mapInArrow(send, "bucket int, members binary").groupBy("bucket").applyInArrow(meet, "u long, v long, common long, beyond long, sizes long, size long"))
     counted = met.filter("size = 0").groupBy("u", "v").agg(F.sum("common").alias("common"), F.max("beyond").alias("beyond"), F.max("sizes").alias("sizes"))
-    links = verified(counted.filter("9 * (common + beyond) >= 4 * sizes"))
-    roots = components(links)
+    likely = counted.filter("9 * (common + beyond) >= 4 * sizes").select("u", "v")
+    linked = verified(likely.unionByName(_simhash_pairs(printed, most)))
+    roots = simhash.components(linked)
     big = met.filter("size > 0")
     if not big.isEmpty():
         rooted = big.join(roots.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("u", "v", "size", F.coalesce("root", "v").alias("root"))
-        roots = components(links.union(verified(rooted.groupBy("u").applyInArrow(rest, "u long, v long"))))
-    kind = docs.schema[id_col].dataType.simpleString()
-    keyed = cut_lineage(docs.select(id_col, text_col).mapInArrow(key_of, f"`{id_col}` {kind}, key long"))
-    distinct = keyed.groupBy("key").agg(F.min(id_col).alias("least"))
-    rooted = distinct.join(roots.withColumnRenamed("u", "key"), "key", "left").select("key", "least", F.coalesce("v", "key").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return keyed.join(rooted.join(named, "root").select("key", "component_id"), "key").select(id_col, "component_id")
+        roots = simhash.components(linked.union(verified(rooted.groupBy("u").applyInArrow(rest, "u long, v long"))))
+    return printed.join(roots.withColumnRenamed("u", "key"), "key", "left").select("id", "tie", F.coalesce("v", "key").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs, all columns, with the least id of each group of similar documents only."""
-    return keep_least(docs, similar_groups(docs, id_col=id_col, text_col=text_col, **more), id_col)
+    """docs, all columns, with one row of each group of similar documents: the one with the least (id, hash of the text), null ids last.
+
+    Rows are joined back by both, so nothing but that row stays; of rows alike in both any one does.
+    """
+    i, tie = unused(docs, "id_key"), unused(docs, "tie")
+    grouped = cut_lineage(similar_groups(docs, id_col=id_col, text_col=text_col, **more))
+    null_id = F.lit(int(np.iinfo(np.int64).min))
+    best = grouped.groupBy("root").agg(F.min(F.struct((F.col("id") == null_id).alias("none"), "id", "tie")).alias("best"))
+    kept = cut_lineage(best.select(F.col("best.id").alias(i), F.col("best.tie").alias(tie)))
+    out = docs.withColumns(dict(zip((i, tie), document_key(id_col, text_col)))).join(kept, [i, tie], "left_semi")
+    repeated = grouped.groupBy("id", "tie").agg(F.count("*").alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates([i, tie])
+    return out.select(*docs.columns)
