@@ -1,18 +1,18 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come in two ways, and whole sets decide.  SimHash fingerprints of the
-same shingles that meet at an anchor (see simhash) give most near copies, and all
-links within crowds of them, without pairs.  Sets of similarity 0.8 differ in some 10 of 64 bits,
+Candidates come in two ways, and whole sets decide.  First SimHash fingerprints of
+the same shingles that meet at an anchor (see simhash): they give most near copies, and join
+crowds of them without pairs.  Sets of similarity 0.8 differ in some 10 of 64 bits,
 though, and covering so many would copy each fingerprint to thousands of anchors, so
 the rest comes from an exact way: two such sets share a shingle among the
 first n - ceil(0.8 n) + 1 of either, in any order that all documents use.  Here shingles of over
-`hot` documents come last and hashes decide the rest.  Each document is sent to the buckets of its
+`common` documents come last and hashes decide the rest.  Each document is sent to the buckets of its
 first shingles as (shingle, key, size); documents with equal sets have one key.
 All pairs of a shingle's documents that sizes allow are counted, and pairs with too few common first shingles
 for a similarity of 0.8 dropped: beyond the first shingles of one, they share at
-most the rest of that one.  The others are compared on their whole sets.  At a shingle of more
-than `hot` documents, all are first compared with a few of them; then only those
-pairs are left that aren't in one group already.
+most the rest of that one.  Those that aren't in one group already are compared on their whole
+sets.  At a shingle of over `crowd` documents, all are compared with two of them first; then
+only those pairs are left that still aren't in one group.
 
 Edge cases: texts under the shingle width are one shingle; null and empty texts are
 one empty set, a group of its own; a row is told by its id and the hash of its text; of each group
@@ -35,7 +35,7 @@ from .common import cut_lineage, shuffle_width, unused
 from .substrings import _BUCKET, _CHUNK, _chunks, _rows, dealt, document_key, extent, windows
 
 _U = np.uint64
-_PIVOTS = 8
+_PIVOTS = 2
 _SURE = 1 << 40  # a count that passes any bound
 _BROADCAST = 1_000_000  # keys sent to all workers at most; beyond, they are joined by a shuffle
 
@@ -184,7 +184,7 @@ def _simhash_pairs(printed: DataFrame, most: int) -> DataFrame:
     return alike.unionByName(ends.select("key", "other")).select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v"))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, common: int = 200, crowd: int = 200, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, common: int = 200, crowd: int = 50, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tie, root) of every row: groups linked by a similarity of 0.8 or more have one root; id and tie as document_key() has them.
 
     common: documents of a shingle that comes last; crowd: documents of a shingle beyond which not all
@@ -250,10 +250,17 @@ def similar_groups(docs: DataFrame, width: int = 5, common: int = 200, crowd: in
         shared = F.size(F.array_intersect("a", "b"))
         return cut_lineage(both.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
 
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """(u, v) of the pairs whose ends have different roots."""
+        for end in ("u", "v"):
+            pairs = pairs.join(roots.select(F.col("u").alias(end), F.col("v").alias(f"root_{end}")), end, "left")
+        return pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
     met = cut_lineage(rows.mapInArrow(send, "bucket int, members binary").groupBy("bucket").applyInArrow(meet, "u long, v long, common long, beyond long, sizes long, size long"))
     counted = met.filter("size = 0").groupBy("u", "v").agg(F.sum("common").alias("common"), F.max("beyond").alias("beyond"), F.max("sizes").alias("sizes"))
-    likely = counted.filter("9 * (common + beyond) >= 4 * sizes").select("u", "v")
-    linked = verified(likely.unionByName(_simhash_pairs(printed, most)))
+    linked = verified(_simhash_pairs(printed, most))
+    roots = simhash.components(linked)
+    linked = linked.union(verified(apart(counted.filter("9 * (common + beyond) >= 4 * sizes").select("u", "v"), roots)))
     roots = simhash.components(linked)
     big = met.filter("size > 0")
     if not big.isEmpty():
