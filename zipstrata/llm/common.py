@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut_lineage
 from ..sources.tables import table
 
-__all__ = ["bounded_sample", "cut_lineage", "shuffle_width", "table", "unused"]
+__all__ = ["bounded_sample", "cut_lineage", "shuffle_width", "table", "training_texts", "unused"]
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -36,3 +36,26 @@ def bounded_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
         few = rows.filter(h < int(2 * n / total * ranges) + 1)
         rows = few if few.count() >= n else rows
     return rows.orderBy(h, id_col).limit(n)
+
+
+def training_texts(rows: DataFrame, chosen: DataFrame, id_col: str, text_col: str, max_rows: int, max_bytes: int) -> list[tuple]:
+    """(id, text, other column of chosen) of a training sample, collected to the driver.
+
+    chosen: the ids, at most max_rows, and one other column.  Where an id has several rows or the texts more than
+    max_bytes, texts are taken in the order of a hash while they fit; lengths come first, so
+    no more than that is ever sent.
+    """
+    (label,) = [c for c in chosen.columns if c != id_col]
+    every = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
+    few = F.broadcast(chosen.select(F.col(id_col).alias("id"), F.col(label).alias("label")))
+    lengths = every.join(few, "id").select("place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).distinct().orderBy("place").limit(2 * max_rows).collect()
+    taken, size = [], 0
+    for r in lengths:
+        if len(taken) < max_rows and size + r["n"] <= max_bytes:
+            taken.append((r["place"],))
+            size += r["n"]
+    if not taken:
+        return []
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(taken, "place long"))
+    found = every.join(wanted, "place", "left_semi").join(few, "id").dropDuplicates(["place"]).collect()
+    return [(r["id"], r["text"], r["label"]) for r in sorted(found, key=lambda r: r["place"])]

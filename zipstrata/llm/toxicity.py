@@ -1,24 +1,28 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  Each sentence has a probability from a
-logistic model over its words; the document's is their noisy-or, 1 - prod(1 - p),
-so one bad sentence is enough and clean ones don't dilute it.  The model is
-trained from document labels alone, by gradient steps on the likelihood of the
-noisy-or; afterwards the sentences' own probabilities show where the fault lies.
+logistic model over its features, and the document's is their noisy-or: hazards, -log(1 - p), add up.
+Clean sentences have faint signs too, and thousands of them must not make a text toxic.  So hazards count
+in excess of clean sentences' only: what a sentence has beyond the `usual` hazard (that
+one clean sentence in ten thousand passes) counts in full; up to there, the sum over the
+document counts as far as it passes twice what as many clean sentences have on average and
+three standard deviations more.  One bad sentence is enough, then, at any length, and clean ones
+neither dilute it nor add up.  The model is trained from document labels alone, by gradient steps on
+the likelihood of that noisy-or; afterwards the sentences' own hazards show where the fault lies.
 
 Features are the lower-cased word and its beginnings of three to seven letters,
-so inflected forms of a word share weight.  A feature is taken up if it occurs in
-`min_docs` training documents and is commoner in toxic ones by `least_z` standard
-deviations of a likelihood-ratio test; weights are not negative, so nothing makes up for a
-bad sentence.  Training takes place on the driver from a bounded
-sample (`max_toxic` + `max_clean` labelled rows, by a hash of their id); the
-model, some thousand weights, goes to the workers with the function.
-
-Edge cases: null and empty texts score as the clean prior; repeated labels of an
+so inflected forms of a word share weight; a sentence has a set of them, in training as in scoring.
+A feature is taken up if it occurs in `min_docs` training documents and is commoner in
+toxic ones by `least_z` standard deviations of a likelihood-ratio test; weights are not negative,
+so nothing makes up for a bad sentence.  Training takes place on the driver from a bounded
+sample (`max_toxic` + `max_clean` labelled rows, by a hash of their id, and `max_bytes` of text);
+the model, some thousand weights, goes to the workers with the function.
+
+Edge cases: null and empty texts score as a clean one does (1e-4); repeated labels of an
 id count as toxic if one says so; null labels and ids are not learned from; with
 no toxic or no clean label everything scores the share of toxic ones; texts
-of any length are read whole; repeated rows score alike; an empty table gives
-an empty result.
+of any length are read whole; spans are in the text as it stands; repeated rows score
+alike; an empty table gives an empty result; names of other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, table, training_texts
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -48,48 +52,86 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text or "") if WORD.search(m[0])]
 
 
+def sentence_words(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
+    """(start, end, its lower-cased words) of each sentence that has a word."""
+    for m in SENTENCE.finditer(text or ""):
+        words = set(WORD.findall(m[0].lower()))
+        if words:
+            yield *m.span(), words
+
+
+PRIOR = 1e-4  # hazard of a document without signs
+TIMES, DEVIATIONS = 2.0, 3.0  # of what clean sentences have; clean texts differ, in language above all
+
+
+class Clean:
+    """Hazards of clean sentences: the usual most, and mean and variance up to there."""
+
+    def __init__(self, usual: float = 0.0, mean: float = 0.0, variance: float = 0.0):
+        self.usual, self.mean, self.variance = usual, mean, variance
+
+    @classmethod
+    def of(cls, hazards: np.ndarray, n: int) -> Clean:
+        """From the hazards of n clean sentences (those not listed have none), and one more of 0.5, as others will have what these lack."""
+        hazards = np.append(hazards, 0.5)
+        rank = int(n * 1e-4)  # so many may pass
+        usual = float(np.partition(hazards, len(hazards) - 1 - rank)[len(hazards) - 1 - rank]) if len(hazards) > rank else 0.0
+        h = np.minimum(hazards, usual)
+        mean = h.sum() / n
+        return cls(usual, float(mean), float((h**2).sum() / n - mean**2))
+
+    def expected(self, n):
+        """What n clean sentences may have in sum."""
+        return TIMES * self.mean * n + DEVIATIONS * np.sqrt(self.variance * n)
+
+
 class Model:
-    """Weights of features, and the intercept of a sentence."""
+    """Weights of features, log odds of a sentence without any, what clean sentences have; share: what every text scores where there was nothing to learn."""
 
-    def __init__(self, weights: dict[str, float], intercept: float):
-        self.weights, self.intercept = weights, intercept
-        self.known: dict[str, float] = {}
+    def __init__(self, weights: dict[str, float], intercept: float, clean: Clean, share: float | None = None):
+        self.weights, self.intercept, self.clean, self.share = weights, intercept, clean, share
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.nothing = float(np.logaddexp(0, intercept))
 
     def __getstate__(self):
-        return self.weights, self.intercept
+        return self.weights, self.intercept, self.clean, self.share
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def word(self, w: str) -> float:
-        """Sum of a lower-cased word's weights."""
-        z = self.known.get(w)
-        if z is None:
-            get = self.weights.get
-            z = sum(get(f, 0.0) for f in features(w))
+    def telling(self, word: str) -> tuple[str, ...]:
+        """Features of a lower-cased word that have weight."""
+        found = self.known.get(word)
+        if found is None:
+            found = tuple(f for f in features(word) if f in self.weights)
             if len(self.known) < 100_000:
-                self.known[w] = z
-        return z
+                self.known[word] = found
+        return found
+
+    def hazard(self, words: set[str]) -> float:
+        """Of a sentence, beyond one without features."""
+        known, own = self.known.get, set()
+        for w in words:
+            x = known(w)
+            own.update(self.telling(w) if x is None else x)
+        return float(np.logaddexp(0, self.intercept + sum(self.weights[f] for f in sorted(own)))) - self.nothing if own else 0.0
 
     def score(self, text: str | None) -> tuple[float, int, int, float]:
-        """(document's probability, start and end of its worst sentence in the lower-cased text, that sentence's probability)."""
-        low = (text or "").lower()
-        known, word, base = self.known.get, self.word, self.intercept
-        clean, worst, at = 0.0, None, (0, 0)
-        for m in SENTENCE.finditer(low):
-            words = set(WORD.findall(m[0]))
-            if not words:
-                continue
-            z = base
-            for w in words:
-                x = known(w)
-                z += word(w) if x is None else x
-            clean -= np.logaddexp(0, z)  # log(1 - p)
-            if worst is None or z > worst:
-                worst, at = z, m.span()
-        if worst is None:
-            return 1 / (1 + np.exp(-base)), 0, 0, 0.0
-        return -np.expm1(clean), *at, 1 / (1 + np.exp(-worst))
+        """(document's probability, start and end of its worst sentence, that sentence's probability); spans are 0 if none has a sign."""
+        if self.share is not None:
+            return self.share, 0, 0, 0.0
+        n, over, under, worst, at = 0, PRIOR, 0.0, 0.0, (0, 0)
+        usual = self.clean.usual
+        for start, end, words in sentence_words(text):
+            n += 1
+            h = self.hazard(words)
+            if h:
+                over += max(h - usual, 0.0)
+                under += min(h, usual)
+                if h > worst:
+                    worst, at = h, (start, end)
+        total = over + max(under - float(self.clean.expected(n)), 0.0)
+        return -float(np.expm1(-total)), *at, -float(np.expm1(-worst))
 
 
 _BUCKETS = 1 << 22
@@ -146,63 +188,54 @@ def _telling(texts: list[str | None], y: np.ndarray, min_docs: int, least_z: flo
     return {every[i]: kept for i, fs in held.items() if (kept := [f for f in fs if taken[f]])}, list(names)
 
 
-def train(texts: list[str | None], toxic: list[int], min_docs: int = 4, least_z: float = 4.0, rounds: int = 150, rate: float = 0.4, l2: float = 2e-6) -> Model:
+def train(texts: list[str | None], toxic: list[int], min_docs: int = 4, least_z: float = 3.5, rounds: int = 300, rate: float = 0.4, l2: float = 2e-6, intercept: float = -3.0) -> Model:
     """Noisy-or model from document labels; AdaGrad over all documents in each round."""
     y = np.array(toxic, bool)
     if not len(y) or y.all() or not y.any():
-        p = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
-        return Model({}, float(np.log(p / (1 - p))))
+        return Model({}, intercept, Clean(), float(y.mean()) if len(y) else 0.0)
     of_word, names = _telling(texts, y, min_docs, least_z)
-    doc, sentence, feature, n = [], [], [], 0
+    doc, sentence, feature, n, sizes = [], [], [], 0, np.zeros(len(y))
     for d, t in enumerate(texts):
-        before = n
-        for m in SENTENCE.finditer((t or "").lower()):
-            words = WORD.findall(m[0])
-            if not words:
-                continue
+        for _, _, words in sentence_words(t):
+            sizes[d] += 1
             own = {f for w in words if w in of_word for f in of_word[w]}
-            doc.append(d)
-            feature += own
-            sentence += [n] * len(own)
-            n += 1
-        if n == before:
-            doc.append(d)
-            n += 1
-    doc, sentence, feature = np.array(doc), np.array(sentence, np.int64), np.array(feature, np.int64)
-    weights, bias = np.zeros(len(names)), -4.0
-    g2, b2 = np.full(len(names), 1e-8), 1e-8
-    # both kinds of documents weigh alike
-    each = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
-    bag_of = each[doc]
+            if own:  # others have no hazard
+                doc.append(d)
+                feature += own
+                sentence += [n] * len(own)
+                n += 1
+    doc, sentence, feature = np.array(doc, np.int64), np.array(sentence, np.int64), np.array(feature, np.int64)
+    weights, g2 = np.zeros(len(names)), np.full(len(names), 1e-8)
+    each = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())  # both kinds of documents weigh alike
+    nothing, n_clean = np.logaddexp(0, intercept), max(sizes[~y].sum(), 1)
+
+    def hazards(z: np.ndarray) -> tuple[np.ndarray, Clean]:
+        h = np.logaddexp(0, z) - nothing
+        return h, Clean.of(h[~y[doc]], n_clean)
+
     for _ in range(rounds):
-        z = bias + np.bincount(sentence, weights[feature], n)
-        p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(doc, -np.logaddexp(0, z), len(y)))  # of each document: prod(1 - p)
-        pull = np.where(y[doc], -clean[doc] / np.maximum(1 - clean[doc], 1e-9) * p, p) * bag_of
-        grad = np.bincount(feature, pull[sentence], len(names)) + l2 * weights
+        z = intercept + np.bincount(sentence, weights[feature], n)
+        h, clean = hazards(z)
+        spare = np.bincount(doc, np.minimum(h, clean.usual), len(y)) - clean.expected(sizes)
+        total = PRIOR + np.bincount(doc, np.maximum(h - clean.usual, 0), len(y)) + np.maximum(spare, 0)
+        pull = np.where(y, -1 / np.expm1(np.clip(total, 1e-2, 50)), 1.0) * each
+        moves = (h > clean.usual) | (spare > 0)[doc] | y[doc]  # a clean document within what is usual is left alone
+        grad = np.bincount(feature, (pull[doc] * moves / (1 + np.exp(-z)))[sentence], len(names)) + l2 * weights
         g2 += grad**2
         weights = np.maximum(weights - rate * grad / np.sqrt(g2), 0)
-        b2 += pull.sum() ** 2
-        bias -= rate * pull.sum() / np.sqrt(b2)
-    kept = np.flatnonzero(np.abs(weights) > 1e-3)
-    return Model({names[i]: float(weights[i]) for i in kept}, float(bias))
+    weights[weights <= 1e-3] = 0
+    clean = hazards(intercept + np.bincount(sentence, weights[feature], n))[1]
+    return Model({names[i]: float(weights[i]) for i in np.flatnonzero(weights)}, intercept, clean)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, id_col: str, text_col: str, learn=None) -> tuple[list, list]:
-    """The bounded sample: texts and labels of at most max_toxic + max_clean documents (a repeated id gives each its row)."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", learn=None) -> Model:
+    """Model from labels (id, toxic 0/1) of a bounded sample; learn: a condition that label rows must meet."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
     marked = marked if learn is None else marked.filter(learn)
     marked = marked.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     chosen = [bounded_sample(marked.filter(F.col("toxic") == y), id_col, n) for y, n in ((1, max_toxic), (0, max_clean))]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # max_toxic + max_clean rows at most
-    rows = docs.select(id_col, text_col).join(ids, id_col).select(id_col, text_col, "toxic").limit(2 * (max_toxic + max_clean)).collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return [r[1] for r in rows], [r[2] for r in rows]
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000, id_col: str = "doc_id", text_col: str = "text", learn=None) -> Model:
-    """Model from labels (id, toxic 0/1); learn: a condition that label rows must meet."""
-    return train(*training_rows(docs, labels, max_toxic, max_clean, id_col, text_col, learn))
+    rows = training_texts(docs, chosen[0].unionByName(chosen[1]), id_col, text_col, max_toxic + max_clean, max_bytes)
+    return train([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
