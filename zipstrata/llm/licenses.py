@@ -3,13 +3,16 @@
 A text becomes its words (A-Z lower-cased; runs of ASCII letters, digits and
 non-ASCII bytes), joined by single spaces, so that phrases match as words stand, whatever
 is between them.  The automaton reads every text once, from end to end.  Where
-it meets the words of an identifier tag, the licence expression behind the tag is
+it meets the words of an identifier tag, the licence expression behind each tag is
 read from the original text, parsed with the precedence WITH over AND over OR
-and evaluated: identifiers under AND all apply, those under OR are a choice.
+and evaluated: identifiers under AND all apply, those under OR are a choice, and labels are all of them.
+The parser goes forward once and stops where an expression can't go on, at the line's end or at the next tag.
 
 Edge cases: null and empty texts have no words, no places, empty labels, null
-first and last word, score 0; an expression that doesn't parse yields the identifiers in it, under no
-structure; repeated rows are rows of their own; texts of any length are read
+first and last word, score 0; of an expression with something behind it (prose, or an operator that
+lacks its right side) the longest beginning that parses counts; where none does (a bracket is left open) the
+identifiers read so far count, under no structure; a word counts as an identifier by its form (see is_named);
+repeated rows are rows of their own; texts of any length are read
 whole; other columns are not touched.
 """
 
@@ -57,49 +60,93 @@ BASE_SURE = {"cc-by": 0.9, "gpl": 0.95, "reserved": 0.7}
 TAG = "spdx license identifier"
 TAG_SURE = 0.99
 
-# an expression ends with its line or before the next tag
-_EXPRESSION = re.compile(r"spdx-license-identifier\s*:\s*+((?:(?:[()]|[^\S\r\n])*+(?!spdx-license-identifier\s*:)[\w.+:-]+[()]*+)+)", re.I)
-_PART = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_TAG = re.compile(r"spdx-license-identifier[^\S\r\n]*:", re.I)
+_LINE_END = re.compile(r"[\r\n]")
+_PART = re.compile(r"[^\S\r\n]*([()]|[A-Za-z0-9.+:-]+)")
 _TIGHTNESS = {"or": 1, "and": 2, "with": 3}
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Identifiers of one word without digits that are often written in small letters.
+PLAIN = frozenset("apache artistic beerware blessing curl diffmark dvipdfm gnuplot isc libpng libtiff magaz mit mplus ncsa none openssl postgresql psfrag psutils python ruby snprintf unlicense vim xinetd xlock xpp zlib".split())
 
 
-def parse_expression(text: str) -> list[str]:
-    """Postfix form of a licence expression, by the shunting-yard method; ValueError if it isn't one."""
-    out: list[str] = []
-    waiting: list[str] = []
-    operand = False  # the last part was one
-    for part in _PART.findall(text):
+def is_named(part: str, in_prose: bool) -> bool:
+    """Whether a part has the form of an identifier: one of PLAIN, or with a digit, or with capitals.
+
+    in_prose (behind an operator in small letters, which a sentence may have too): capitals only will do.
+    """
+    if part.lower() in PLAIN or any(c.isdigit() for c in part):
+        return True
+    return len(part) > 1 and part.isupper() if in_prose else part != part.lower()
+
+
+class Parser:
+    """Shunting-yard parser of a licence expression, fed part by part; it knows the last place where what it has read is complete."""
+
+    def __init__(self):
+        self.out: list[str] = []  # postfix
+        self.waiting: list[str] = []  # operators and open brackets
+        self.before = ""  # kind of the last part: "", "id", "exception", ")", "(", or the operator
+        self.open = 0
+        self.complete: tuple[int, tuple[str, ...]] | None = None
+
+    def feed(self, part: str) -> bool:
+        """Take the next part; False, and nothing has changed, if it can't come next."""
         low = part.lower()
+        operand = self.before in ("id", "exception", ")")
         if low in _TIGHTNESS:
-            if not operand:
-                raise ValueError(f"{part} without a left side")
-            while waiting and waiting[-1] != "(" and _TIGHTNESS[waiting[-1]] >= _TIGHTNESS[low]:
-                out.append(waiting.pop())
-            waiting.append(low)
-            operand = False
+            if not operand or low == "with" and self.before != "id":
+                return False
+            while self.waiting and self.waiting[-1] != "(" and _TIGHTNESS[self.waiting[-1]] >= _TIGHTNESS[low]:
+                self.out.append(self.waiting.pop())
+            self.waiting.append(low)
+            self.before = low
         elif part == "(":
-            if operand:
-                raise ValueError("( behind an identifier")
-            waiting.append(part)
+            if operand or self.before == "with":
+                return False
+            self.waiting.append(part)
+            self.before = part
+            self.open += 1
         elif part == ")":
-            while operand and waiting and waiting[-1] != "(":
-                out.append(waiting.pop())
-            if not operand or not waiting:
-                raise ValueError(") without a match")
-            waiting.pop()
+            if not operand or not self.open:
+                return False
+            while self.waiting[-1] != "(":
+                self.out.append(self.waiting.pop())
+            self.waiting.pop()
+            self.before = part
+            self.open -= 1
         elif operand:
-            raise ValueError(f"{part} behind an identifier")
+            return False
         else:
-            out.append(low)
-            operand = True
-    if not operand or "(" in waiting:
+            self.out.append(low)
+            self.before = "exception" if self.before == "with" else "id"
+        if not self.open and self.before in ("id", "exception", ")"):
+            self.complete = len(self.out), tuple(self.waiting)  # three operators at most wait outside brackets
+        return True
+
+    def postfix(self) -> list[str]:
+        """Of the longest complete beginning; empty if there is none."""
+        if self.complete is None:
+            return []
+        n, waiting = self.complete
+        return self.out[:n] + list(waiting[::-1])
+
+
+def parse_expression(text: str) -> list[str]:
+    """Postfix form of a whole licence expression; ValueError if it isn't one."""
+    parser = Parser()
+    for m in _PART.finditer(text):
+        if not parser.feed(m[1]):
+            raise ValueError(f"{m[1]} can't come here")
+    if parser.open or parser.before not in ("id", "exception", ")"):
         raise ValueError("the expression breaks off")
-    return out + waiting[::-1]
+    return parser.postfix()
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The choices an expression offers: each the identifiers that apply together ("gpl-2.0 with classpath-exception" is one)."""
+    """The choices an expression offers: each the identifiers that apply together ("gpl-2.0 with classpath-exception" is one).
+
+    There may be exponentially many; labels don't need them (see identifiers).
+    """
     stack: list[list[frozenset[str]]] = []
     for part in postfix:
         if part not in _TIGHTNESS:
@@ -123,25 +170,42 @@ def identifiers(postfix: list[str]) -> set[str]:
             stack.append({part})
             continue
         right, left = stack.pop(), stack.pop()
-        stack.append({f"{a} with {b}" for a in left for b in right} if part == "with" else left | right)
-    return stack[0]
+        if part == "with":
+            stack.append({f"{a} with {b}" for a in left for b in right})  # one of each
+        else:
+            large, small = (left, right) if len(left) >= len(right) else (right, left)
+            large |= small
+            stack.append(large)
+    return stack[0] if stack else set()
+
+
+def read_expression(text: str, at: int, end: int) -> set[str]:
+    """Identifiers of the expression that begins at a place."""
+    parser, operator = Parser(), ""
+    while m := _PART.match(text, at, end):
+        part = m[1].rstrip(".:-") or "."
+        if part.lower() in _TIGHTNESS:
+            operator = part
+        elif part not in "()" and not (operator.isupper() or is_named(part, in_prose=bool(operator))):
+            break
+        if not parser.feed(part):
+            break
+        at = m.end()
+        if part != m[1]:  # a full stop or colon ends it
+            break
+    if parser.complete:
+        return identifiers(parser.postfix())
+    return {x for x in parser.out if x not in _TIGHTNESS}
 
 
 def tag_labels(text: str) -> set[str]:
     """Identifiers of all tagged expressions of a text."""
     found: set[str] = set()
-    for m in _EXPRESSION.finditer(text):
-        line = m[1]
-        try:
-            found |= identifiers(parse_expression(line))
-        except ValueError:
-            parts = _PART.findall(line)
-            for end in range(len(parts) - 1, 0, -1):  # prose may follow the expression
-                try:
-                    found |= identifiers(parse_expression(" ".join(parts[:end])))
-                    break
-                except ValueError:
-                    continue
+    tags = list(_TAG.finditer(text))
+    for m, after in zip(tags, [*tags[1:], None]):
+        end = after.start() if after else len(text)
+        line = _LINE_END.search(text, m.end(), end)
+        found |= read_expression(text, m.end(), line.start() if line else end)
     return {x.replace(",", " ") for x in found}
 
 
