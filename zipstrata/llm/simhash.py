@@ -125,7 +125,7 @@ def anchors(fps: np.ndarray, most: int, blocks: tuple[str, ...]) -> tuple[np.nda
     return row, anchor, spent == 0
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node of each node's component, for edges a-b of nodes 0..n-1."""
     label = np.arange(n)
     while True:
@@ -206,7 +206,7 @@ def _stars(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     if not len(a):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     nodes, ids = np.unique(np.concatenate([fps[a], fps[b]]), return_inverse=True)
-    label = _labels(len(nodes), ids[: len(a)], ids[len(a) :])
+    label = labels(len(nodes), ids[: len(a)], ids[len(a) :])
     member = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[member], nodes[label[member]]
 

@@ -10,9 +10,11 @@ first n - ceil(0.8 n) + 1 of either, in any order that all documents use.  Here
 first shingles as (shingle, key, size); documents with equal sets have one key.
 All pairs of a shingle's documents that sizes allow are counted, and pairs with too few common first shingles
 for a similarity of 0.8 dropped: beyond the first shingles of one, they share at
-most the rest of that one.  Those that aren't in one group already are compared on their whole
-sets.  At a shingle of over `crowd` documents, all are compared with two of them first; then
-only those pairs are left that still aren't in one group.
+most the rest of that one.  Those that aren't in one group already are compared on their whole sets.
+
+A shingle with over `crowd` documents makes no pairs.  Documents that such shingles join are put in the order of
+their sizes and dealt into blocks; two blocks whose sizes allow it meet in one task, which counts the
+common shingles of all their sets by a product of matrices and answers with links only.
 
 Edge cases: texts under the shingle width are one shingle; null and empty texts are
 one empty set, a group of its own; a row is told by its id and the hash of its text; of each group
@@ -29,14 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import simhash
 from .common import cut_lineage, shuffle_width, unused
 from .substrings import _BUCKET, _CHUNK, _chunks, _rows, dealt, document_key, extent, windows
 
 _U = np.uint64
-_PIVOTS = 2
-_SURE = 1 << 40  # a count that passes any bound
+_BLOCK = 256  # documents of a crowd's block
 _BROADCAST = 1_000_000  # keys sent to all workers at most; beyond, they are joined by a shuffle
 
 
@@ -135,30 +137,51 @@ def _pairs(g: np.ndarray, key: np.ndarray, size: np.ndarray, most: int) -> tuple
     Rows come by (g, size, key).  A pair can be similar only if
     9 * (all its common + beyond) >= 4 * sizes.
     """
-    head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    n = np.diff(np.append(head, len(g)))
+    n = np.diff(np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)))
     big = np.repeat(n > most, n)
-    at, lag, found = np.flatnonzero(~big), 1, [np.zeros((5, 0), np.int64)]
+    at, lag, found = np.flatnonzero(~big), 1, [np.zeros((4, 0), np.int64)]
     while len(at):
         at = at[at + lag < len(g)]
         at = at[g[at] == g[at + lag]]
         at = at[5 * size[at] >= 4 * size[at + lag]]  # sizes rise, so no later one fits either
         a, b = key[at], key[at + lag]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.ones(len(at), np.int64), (4 * size[at + lag] + 4) // 5 - 1, size[at] + size[at + lag]]))
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), (4 * size[at + lag] + 4) // 5 - 1, size[at] + size[at + lag]]))
         lag += 1
-    for h, k in zip(head[n > most], n[n > most]):
-        some = key[h : h + k]
-        for p in np.sort(some)[:_PIVOTS]:
-            other = some[some != p]
-            found.append(np.stack([np.minimum(other, p), np.maximum(other, p), np.full(k - 1, _SURE), np.zeros(k - 1, np.int64), np.zeros(k - 1, np.int64)]))
-    found = np.concatenate(found, axis=1)
-    order = np.lexsort((found[1], found[0]))
-    found = found[:, order]
-    first = np.flatnonzero(np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)]))[: found.shape[1]]
-    if len(first):
-        common, sizes = np.add.reduceat(found[2], first), np.maximum.reduceat(found[4], first)
-        found = np.stack([*found[:2, first], common, np.maximum.reduceat(found[3], first), sizes])
-    return found, np.flatnonzero(big)
+    u, v, beyond, sizes = np.concatenate(found, axis=1)
+    order = np.lexsort((v, u))
+    u, v, beyond, sizes = u[order], v[order], beyond[order], sizes[order]
+    first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))[: len(u)]
+    return np.stack([u[first], v[first], np.diff(np.append(first, len(u))), beyond[first], sizes[first]]), np.flatnonzero(big)
+
+
+def _common_counts(doc: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """counts[a, b]: shingles that the sets a and b share, for n sets given as (doc, shingle) pairs."""
+    g, at, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1  # what one set has alone is nothing in common
+    keep = often[at] > 1
+    doc, at = doc[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    counts, wide = np.zeros((n, n), np.float32), 4096
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, wide):
+        a, z = np.searchsorted(at, [low, low + wide])
+        m = np.zeros((n, wide), np.float32)
+        m[doc[a:z], at[a:z] - low] = 1
+        counts += m @ m.T
+    return counts
+
+
+def _meet_in_blocks(group: pa.Table) -> pa.Table:
+    """(u, v) links between the members of two blocks, or within one, that have different roots: of each group each member with one."""
+    key, root = group.column("key").to_numpy(), group.column("root").to_numpy()
+    sets = group.column("shingles").combine_chunks()
+    size = np.diff(sets.offsets.to_numpy())
+    counts = _common_counts(np.repeat(np.arange(len(key)), size), sets.values.to_numpy(), len(key))
+    a, b = np.nonzero(np.triu((9 * counts >= 4 * (size[:, None] + size[None, :])) & (root[:, None] != root[None, :]), 1))
+    label = simhash.labels(len(key), a, b)
+    member = np.flatnonzero(label != np.arange(len(key)))
+    a, b = key[member], key[label[member]]
+    return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
 
 
 def _fingerprints(rows: DataFrame, width: int) -> DataFrame:
@@ -184,7 +207,7 @@ def _simhash_pairs(printed: DataFrame, most: int) -> DataFrame:
     return alike.unionByName(ends.select("key", "other")).select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v"))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, common: int = 200, crowd: int = 50, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, common: int = 50, crowd: int = 200, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tie, root) of every row: groups linked by a similarity of 0.8 or more have one root; id and tie as document_key() has them.
 
     common: documents of a shingle that comes last; crowd: documents of a shingle beyond which not all
@@ -226,30 +249,39 @@ def similar_groups(docs: DataFrame, width: int = 5, common: int = 200, crowd: in
             for k in one.tolist():
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 1].view(np.int64)), pa.array([own[ends[k] : ends[k + 1]].view(np.int64)], pa.list_(pa.int64()))], ["key", "shingles"])
 
-    def rest(group: pa.Table) -> pa.Table:
-        key, n, root = (group.column(c).to_numpy() for c in ("v", "size", "root"))
-        order = np.argsort(n, kind="stable")
-        key, n, root = key[order], n[order], root[order]
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(key) - 1 if (root != root[0]).any() else 0):
-            j = np.arange(i + 1, np.searchsorted(4 * n, 5 * n[i], "right"))
-            j = j[root[j] != root[i]]
-            u.append(np.minimum(key[i], key[j]))
-            v.append(np.maximum(key[i], key[j]))
-        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(key, shingles) of the keys in wanted."""
+        wanted = cut_lineage(wanted.distinct())
+        if wanted.count() <= _BROADCAST:
+            wanted = F.broadcast(wanted)
+        sets = rows.mapInArrow(set_of, "key long, shingles array<long>").join(wanted, "key", "left_semi")
+        return cut_lineage(sets.groupBy("key").agg(F.first("shingles").alias("shingles")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole sets are similar enough."""
         pairs = cut_lineage(pairs.select("u", "v").distinct())
-        wanted = cut_lineage(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
-        if wanted.count() <= _BROADCAST:
-            wanted = F.broadcast(wanted)
-        sets = rows.mapInArrow(set_of, "key long, shingles array<long>").join(wanted, "key", "left_semi")
-        sets = cut_lineage(sets.groupBy("key").agg(F.first("shingles").alias("shingles")))
+        sets = sets_of(pairs.select(F.col("u").alias("key")).union(pairs.select("v")))
         both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return cut_lineage(both.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
 
+    def crowded(big: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links of the members (u: shingle, v: key, size) of crowds that aren't in one group yet."""
+        least = big.groupBy("u").agg(F.min("v").alias("least"))
+        joined = simhash.components(big.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct())
+        members = big.select(F.col("v").alias("key"), "size").distinct()
+        members = members.join(joined.select(F.col("u").alias("key"), F.col("v").alias("crowd")), "key", "left").withColumn("crowd", F.coalesce("crowd", "key"))
+        members = members.join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        place = Window.partitionBy("crowd").orderBy("size", "key")
+        members = cut_lineage(members.withColumn("block", F.floor((F.row_number().over(place) - 1) / _BLOCK)))
+        blocks = members.groupBy("crowd", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+        left, right = blocks.select("crowd", F.col("block").alias("one"), "high"), blocks.select("crowd", F.col("block").alias("other"), "low")
+        meetings = left.join(right, "crowd").filter((F.col("one") <= F.col("other")) & (5 * F.col("high") >= 4 * F.col("low"))).select("crowd", "one", "other")
+        seats = meetings.select("crowd", "one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
+        sets = sets_of(members.select("key"))
+        sent = seats.join(members, ["crowd", "block"]).join(sets, "key").select("crowd", "one", "other", "key", "root", "shingles")
+        return cut_lineage(sent.groupBy("crowd", "one", "other").applyInArrow(_meet_in_blocks, "u long, v long").distinct())
+
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """(u, v) of the pairs whose ends have different roots."""
         for end in ("u", "v"):
@@ -264,8 +296,7 @@ def similar_groups(docs: DataFrame, width: int = 5, common: int = 200, crowd: in
     roots = simhash.components(linked)
     big = met.filter("size > 0")
     if not big.isEmpty():
-        rooted = big.join(roots.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("u", "v", "size", F.coalesce("root", "v").alias("root"))
-        roots = simhash.components(linked.union(verified(rooted.groupBy("u").applyInArrow(rest, "u long, v long"))))
+        roots = simhash.components(linked.union(crowded(big.select("u", "v", "size"), roots)))
     return printed.join(roots.withColumnRenamed("u", "key"), "key", "left").select("id", "tie", F.coalesce("v", "key").alias("root"))
 
 
