@@ -1,18 +1,26 @@
 """Byte-level BPE by forced-boundary splitting.
 
-A byte pair that occurs inside no vocabulary token can never be merged, so a
-text may be cut between its two bytes, the fragments encoded on their own and
-their ids concatenated.  For a byte-level vocabulary the pairs (x, white space)
-with x not white space are of this kind; the constructor derives the table of
-forced pairs from every token and checks this.  (The one exception it admits is
-byte A0 before a space, which no-break spaces bring into a few tokens.)  Between a
-character that is not white space and white space the pre-tokenising pattern has
-a boundary as well, whatever stands on either side, and merges never cross it,
-so cutting the *text* there changes neither step, in the exception too.
+A byte pair that occurs inside no vocabulary token can never be merged, so where
+it stands is a certain cut: the fragments on either side are encoded on their
+own and their ids concatenated.  The constructor derives the table of forced pairs from
+every token.  Cuts are taken on two levels.
+
+First the *text* is cut before white space that follows another character.  For a byte-level
+vocabulary the pairs (x, white space) with x not white space are forced, which the
+constructor checks.  (The one exception it admits is byte A0 before a space,
+which no-break spaces bring into a few tokens.)  The pre-tokenising pattern has a boundary
+there as well, whatever stands on either side, so cutting the text changes neither step, in the
+exception too.
+
+Then each fragment is split into pre-tokens, and these are cut at every forced pair of
+their bytes: within numbers, punctuation and the letters of most scripts, so what is left are short pieces that
+recur.  A piece that is a token is that token; others are merged by the vocabulary's
+ranks.  Runs of Latin letters have hardly a forced pair; those not seen before are merged in one
+library call, strung together with white space, which is again a forced boundary.
 
 Fragments follow a Zipf law, so each worker keeps a bounded dictionary from
 fragment to its ids (as little-endian uint32 bytes): encoding a text is one
-``findall``, one dictionary lookup per fragment and one ``join``.
+``findall``, one dictionary lookup per fragment and one ``join``.  Pre-tokens and pieces have others.
 
 Edge cases: null text encodes as the empty text (no ids); empty text has no ids;
 strings of added (special) tokens inside a text become their id, as the
@@ -28,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 #: Code points with the Unicode property White_Space.
@@ -47,7 +56,7 @@ def byte_alphabet() -> dict[str, int]:
 class ForcedBoundaryBPE:
     """encode() and decode() of one byte-level vocabulary file (tokenizers JSON)."""
 
-    def __init__(self, path: str, max_entries: int = 60_000):
+    def __init__(self, path: str, max_entries: int = 200_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -68,6 +77,13 @@ class ForcedBoundaryBPE:
         self.library.no_padding()
         by_rank = {self.token_bytes[i]: i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.merger = tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks=by_rank, special_tokens={}) if self._ranks_are_ids(spec, by_rank, alphabet) else None
+        self.rank = by_rank
+        self.pre_token = regex.compile(PRE_TOKEN)
+        self.words: dict[str, bytes] = {}  # of pre-tokens
+        self.alphabet = alphabet
+        self.forced_at = self.forced.tobytes()  # by the pair as one number
+        self.heads: dict[str, bytes] = {}  # of fragments with no space, or an odd one, before them
+        self.pieces: dict[bytes, bytes] = {}
         # Between a space after and a character before that are both not white space, a text is cut by str.split;
         # texts with other white space beside a space take the pattern.
         self.odd_space = re.compile(f"^ | $| [{WHITE_SPACE}]|[{WHITE_SPACE}] ")
@@ -106,36 +122,113 @@ class ForcedBoundaryBPE:
             last = i
         return True
 
+    def pre_tokens(self, fragment: str) -> list[bytes]:
+        """The pattern's matches, in UTF-8.  Letters of other scripts, whose tables may differ between libraries, are told by the file's own."""
+        if fragment.isascii() or max(fragment) < "\u0250":
+            return [t.encode() for t in self.pre_token.findall(fragment)]
+        of = self.alphabet
+        return [bytes([of[c] for c in t]) for t, _ in self.library.pre_tokenizer.pre_tokenize_str(fragment)]
+
+    def cut_forced(self, pre_token: bytes) -> list[bytes]:
+        """A pre-token's pieces between its forced pairs."""
+        forced, out, at = self.forced_at, [], 0
+        for i in range(1, len(pre_token)):
+            if forced[pre_token[i - 1] << 8 | pre_token[i]]:
+                out.append(pre_token[at:i])
+                at = i
+        out.append(pre_token[at:])
+        return out
+
+    def _merged(self, piece: bytes) -> bytes:
+        """Ids of a piece, by merging the neighbours of least rank until none are left."""
+        found = self.pieces.get(piece)
+        if found is None:
+            rank, parts = self.rank, [piece[i : i + 1] for i in range(len(piece))]
+            if piece in rank and len(piece) <= 2:
+                parts = [piece]
+            while len(parts) > 1:
+                ranked = [rank.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
+                least = min(ranked)
+                if least == 1 << 60:
+                    break
+                i = ranked.index(least)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            found = b"".join([rank[x].to_bytes(4, "little") for x in parts])
+            if len(self.pieces) >= self.max_entries:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
+    def _of_pre_tokens(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of Latin pre-tokens: runs of letters without a forced pair are strung together, others cut and merged."""
+        out: dict[str, bytes] = {}
+        runs = [t for t in new if t.isalpha() or t[0] == " " and t[1:].isalpha()]
+        cut = self._runs_with_cuts(runs)
+        self._strung([t for t, c in zip(runs, cut) if not c], out)
+        for t in new:
+            if t not in out:
+                out[t] = b"".join(map(self._merged, self.cut_forced(t.encode())))
+        return out
+
+    def _runs_with_cuts(self, runs: list[str]) -> list[bool]:
+        """Which runs have a forced pair inside; one look at all of them."""
+        if not runs:
+            return []
+        raw = np.frombuffer("".join(runs).encode(), np.uint8)
+        ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in runs])
+        inside = self.forced[raw[:-1], raw[1:]]
+        inside[ends[:-1] - 1] = False  # between two runs
+        counts = np.concatenate([[0], np.cumsum(inside), [inside.sum()]])
+        return (np.diff(counts[np.concatenate([[0], ends])]) > 0).tolist()
+
+    def _new(self, fragments: list[str]) -> list[bytes]:
+        """Ids of fragments that aren't in a dictionary; all begin with a space, or there is one only."""
+        if self.merger is None:
+            return [np.array(self.library.encode(f, add_special_tokens=False).ids, "<u4").tobytes() for f in fragments]
+        joined = "".join(fragments)
+        if not joined.isascii() and max(joined) >= "\u0250":
+            own = [f.isascii() or max(f) < "\u0250" for f in fragments]
+            latin = iter(self._new([f for f, x in zip(fragments, own) if x]) if any(own) else ())
+            return [next(latin) if x else b"".join([self._merged(p) for t in self.pre_tokens(f) for p in self.cut_forced(t)]) for f, x in zip(fragments, own)]
+        tokens = self.pre_token.findall(joined)
+        found = list(map(self.words.get, tokens))
+        if None in found:
+            new = self._of_pre_tokens(list({t for t, x in zip(tokens, found) if x is None}))
+            found = [new[t] if x is None else x for t, x in zip(tokens, found)]
+            if len(self.words) + len(new) > self.max_entries:
+                self.words.clear()
+            self.words |= new
+        if len(fragments) == 1:
+            return [b"".join(found)]
+        ends = np.searchsorted(np.cumsum(list(map(len, tokens))), np.cumsum(list(map(len, fragments)))) + 1
+        ends = ends.tolist()
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def _strung(self, runs: list[str], out: dict[str, bytes]) -> None:
+        """Ids of runs of letters, by one call; the lengths of the tokens' bytes tell where each one's ids end."""
+        if not runs:
+            return
+        joined = "".join([w if w[0] == " " else "\n" + w for w in runs])
+        ids = np.array(self.merger.encode_ordinary(joined), "<u4")
+        lengths = [len(w) + (w[0] != " ") if w.isascii() else len(w.encode()) + (w[0] != " ") for w in runs]
+        ends = (np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum(lengths)) * 4 + 4).tolist()
+        raw = ids.tobytes()
+        for w, a, b in zip(runs, [0, *ends], ends):
+            out[w] = raw[a:b] if w[0] == " " else raw[a + 4 : b]
+
     def _alone(self, fragment: str) -> bytes:
         """Ids of a fragment by itself."""
-        if not fragment:
-            return b""
-        # scripts whose letter tables may differ between libraries go to the file's own library
-        if self.merger is not None and (fragment.isascii() or max(fragment) < "\u0250"):
-            return np.array(self.merger.encode_ordinary(fragment), "<u4").tobytes()
-        return np.array(self.library.encode(fragment, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.heads.get(fragment)
+        if found is None:
+            (found,) = self._new([fragment]) if fragment else (b"",)
+            if len(self.heads) >= self.max_entries:
+                self.heads.clear()
+            self.heads[fragment] = found
+        return found
 
     def _spaced(self, fragments: list[str]) -> dict[str, bytes]:
-        """Ids of " " + fragment for each.
-
-        Such fragments meet at forced boundaries again when they are strung
-        together, so one call encodes them all; the lengths of the tokens' bytes
-        tell where each fragment's ids end.
-        """
-        joined = " " + " ".join(fragments)
-        if self.merger is None or not (joined.isascii() or max(joined) < "\u0250"):
-            odd = [f for f in fragments if self.merger is None or not (f.isascii() or max(f) < "\u0250")]
-            found = {f: self._alone(" " + f) for f in odd}
-            rest = [f for f in fragments if f not in found]
-            return found | (self._spaced(rest) if rest else {})
-        ids = np.array(self.merger.encode_ordinary(joined), "<u4")
-        if joined.isascii():
-            lengths = [len(f) + 1 for f in fragments]
-        else:
-            lengths = [len(f) + 1 if f.isascii() else len(f.encode()) + 1 for f in fragments]
-        ends = (np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum(lengths)) * 4 + 4).tolist()
-        raw = ids.tobytes()
-        return dict(zip(fragments, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        """Ids of " " + fragment for each."""
+        return dict(zip(fragments, self._new([" " + f for f in fragments])))
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of whole texts as little-endian uint32 bytes, about a million characters at a time."""
