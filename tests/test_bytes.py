@@ -17,6 +17,7 @@ from zipstrata.sources import patchfiles as p
 from zipstrata.sources import zipfiles as z
 from zipstrata.sources.versions import zip_bytes
 
+#: Texts and the control entries (diff, extra, seek) that any delta of this format has for them.
 GOLDEN = [
     ("aa", "aa", [(2, 0, 0)]),
     ("aaa", "aaa", [(0, 0, 0), (3, 0, 0)]),
@@ -45,15 +46,70 @@ def test_delta_round_trip(old, new, least):
     assert b.apply_delta(o, b.write_delta(o, n, least)) == n
 
 
-@settings(max_examples=60, deadline=None)
+def plain_longest(old, new, at):
+    """(start, length) by the definition: of the suffix not below new[at:] and the one before it, the one that agrees longer."""
+    order = sorted(range(len(old) + 1), key=lambda i: old[i:])
+    above = next((k for k, i in enumerate(order) if old[i:] >= new[at:]), len(order))
+    above = min(max(above, 1), len(order) - 1) if old else 0
+    n = {k: b.common_prefix(old, order[k], new, at) for k in (above, max(above - 1, 0))}
+    k = max(above - 1, 0) if n[max(above - 1, 0)] > n[above] else above
+    return order[k], n[k]
+
+
+def plain_matches(old, new, least, budget=1 << 26):
+    """The rule of matches(), one place after the other."""
+    at = diagonal = 0
+    while at < len(new):
+        seen = 0
+        while at < len(new):
+            start, n = plain_longest(old, new, at)
+            agree = sum(0 <= k + diagonal < len(old) and old[k + diagonal] == new[k] for k in range(at, at + n))
+            seen += n
+            if n > agree + least or seen >= budget:
+                yield start, at
+                diagonal, at = start - at, at + n
+                break
+            at += n if n and n == agree else 1
+
+
+@settings(max_examples=80, deadline=None)
 @given(st.binary(max_size=80), st.binary(max_size=30))
 def test_suffixes_and_longest_match(old, new):
-    suffixes = b.suffix_array(old).tolist()
-    assert suffixes == sorted(range(len(old) + 1), key=lambda i: old[i:])
-    for at in range(len(new)):
-        start, length = b.longest_match(suffixes, old, new, at)
-        assert old[start : start + length] == new[at : at + length]
-        assert length == max(b.common_prefix(old, i, new, at) for i in range(len(old) + 1))
+    assert b.suffix_array(old).tolist() == sorted(range(len(old) + 1), key=lambda i: old[i:])
+    start, length = b.Matcher(old, new).longest(0, len(new)) if new else ([], [])
+    for at, (s, n) in enumerate(zip(start, length)):
+        assert (s, n) == plain_longest(old, new, at)
+        assert n == max(b.common_prefix(old, i, new, at) for i in range(len(old) + 1))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=90), st.text("abc", max_size=90), st.sampled_from([0, 1, 3, 16]), st.sampled_from([1 << 26, 5, 40]))
+def test_matches_by_the_rule(old, new, least, budget):
+    o, n = old.encode(), new.encode()
+    assert list(b.matches(o, n, least, budget)) == list(plain_matches(o, n, least, budget))
+
+
+def test_matches_of_edited_texts_by_the_rule():
+    rng = random.Random(2)
+    for k in range(25):
+        words = [bytes(rng.choice(b"abcdefg\0\xff") for _ in range(rng.randint(1, 9))) for _ in range(30)]
+        old = b" ".join(rng.choice(words) for _ in range(80))
+        new = bytearray(old)
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(new))
+            new[i : i + rng.randint(0, 20)] = old[rng.randrange(len(old)) :][: rng.randint(0, 40)]
+        assert list(b.matches(old, bytes(new), k % 5 * 4)) == list(plain_matches(old, bytes(new), k % 5 * 4))
+
+
+def test_unrelated_bytes_take_linear_time():
+    import time
+
+    rng = random.Random(9)
+    old, new = rng.randbytes(1 << 20), rng.randbytes(1 << 20)
+    began = time.process_time()
+    delta = b.write_delta(old, new)
+    assert time.process_time() - began < 10  # some 2 s on an idle machine
+    assert b.apply_delta(old, delta) == new
 
 
 def test_suffixes_of_long_random_bytes():
@@ -93,6 +149,7 @@ def test_bad_deltas():
         b.apply_delta(b"old bytes that stay", good, 28)
 
 
+#: Magic, opcodes and widths of the GDIFF format.
 def test_gdiff():
     assert b.apply_gdiff(b"ABCDEFG", b.GDIFF_MAGIC + b"\xf9\0\0\x02" + b"\x02XY" + b"\xf9\0\x02\x02" + b"\xf9\0\x01\x02" + b"\x02DE" + b"\0") == b"ABXYCDBCDE"
     forms = {249: ">HB", 250: ">HH", 251: ">Hi", 252: ">iB", 253: ">iH", 254: ">ii", 255: ">qi"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -86,66 +87,146 @@ def common_prefix(a: bytes, i: int, b: bytes, j: int) -> int:
     return most
 
 
-def longest_match(suffixes: list[int], old: bytes, new: bytes, at: int) -> tuple[int, int]:
-    """(start in old, length) of the longest beginning of new[at:] that old holds.
+_LETTERS, _WIDE = 7, np.int64(9)
 
-    Of the two suffixes between which new[at:] would stand, the upper wins a tie.
+
+def _heads(data: bytes) -> np.ndarray:
+    """For every start, the end included, the next seven letters as one number that sorts as they do; 0 stands for no letter."""
+    raw = np.zeros(len(data) + _LETTERS + 1, np.int64)
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
+    raw[: len(data)] += 1
+    out = np.zeros(len(data) + 1, np.int64)
+    for k in range(_LETTERS):
+        out = out << _WIDE | raw[k : k + len(out)]
+    return out
+
+
+class Matcher:
+    """Longest matches of many places of `new` in `old` at once.
+
+    A place stands between two suffixes of old: the next one not below it and the one before that (at
+    the ends of the order, the last two or the first two).  It matches the one that agrees longer, the upper one on ties.
     """
-    low, high = 0, len(suffixes) - 1
-    while high - low >= 2:
-        mid = (low + high) // 2
-        s = suffixes[mid]
-        size = 24
-        while True:
-            a, b = old[s : s + size], new[at : at + size]
-            if a != b or len(a) < size:
+
+    DEPTHS = 5  # times seven letters that are compared for all places together; what agrees further is compared alone
+
+    def __init__(self, old: bytes, new: bytes):
+        self.old, self.new = old, new
+        self.suffixes = suffix_array(old)
+        self.of_old, self.of_new = _heads(old), _heads(new)
+        self.sorted_heads = self.of_old[self.suffixes]
+
+    def _head(self, heads: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return heads[np.minimum(at, len(heads) - 1)]
+
+    def _narrowed(self, low: np.ndarray, high: np.ndarray, want: np.ndarray, depth: int, beyond: bool) -> np.ndarray:
+        """First place in low..high whose letters at a depth are not below want (beyond: above it), for each."""
+        low, high = low.copy(), high.copy()
+        while (low < high).any():
+            mid = (low + high) >> 1
+            head = self._head(self.of_old, self.suffixes[np.minimum(mid, len(self.suffixes) - 1)] + depth)
+            right = (head <= want if beyond else head < want) & (low < high)
+            low = np.where(right, mid + 1, low)
+            high = np.where(right | (low > high), high, np.minimum(mid, high))
+        return low
+
+    def _places(self, at: np.ndarray) -> np.ndarray:
+        """How many suffixes of old are below new[at:], for each."""
+        want = self.of_new[at]
+        low, high = np.searchsorted(self.sorted_heads, want, "left"), np.searchsorted(self.sorted_heads, want, "right")
+        for depth in range(_LETTERS, _LETTERS * self.DEPTHS, _LETTERS):
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                return low
+            want = self._head(self.of_new, at[open_] + depth)
+            first = self._narrowed(low[open_], high[open_], want, depth, False)
+            high[open_] = self._narrowed(first, high[open_], want, depth, True)
+            low[open_] = first
+        for i in np.flatnonzero(low < high).tolist():
+            low[i] = self._place_alone(int(at[i]), int(low[i]), int(high[i]))
+        return low
+
+    def _place_alone(self, at: int, low: int, high: int) -> int:
+        while low < high:
+            mid = (low + high) // 2
+            s = int(self.suffixes[mid])
+            n = common_prefix(self.old, s, self.new, at)
+            if self.old[s + n : s + n + 1] < self.new[at + n : at + n + 1]:
+                low = mid + 1
+            else:
+                high = mid
+        return low
+
+    def _agreeing(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Letters that old[s:] and new[at:] begin with alike."""
+        n = np.zeros(len(s), np.int64)
+        going = np.arange(len(s))
+        for depth in range(0, _LETTERS * self.DEPTHS, _LETTERS):
+            x = self._head(self.of_old, s[going] + depth) ^ self._head(self.of_new, at[going] + depth)
+            n[going] += sum((x >> (_WIDE * k) == 0).astype(np.int64) for k in range(_LETTERS))
+            going = going[x == 0]
+            if not len(going):
                 break
-            size *= 4
-        if a < b:
-            low = mid
-        else:
-            high = mid
-    lower, upper = common_prefix(old, suffixes[low], new, at), common_prefix(old, suffixes[high], new, at)
-    return (suffixes[low], lower) if lower > upper else (suffixes[high], upper)
+        room = np.minimum(len(self.old) - s, len(self.new) - at)
+        for i in going[room[going] > n[going]].tolist():
+            n[i] += common_prefix(self.old, int(s[i] + n[i]), self.new, int(at[i] + n[i]))
+        return np.minimum(n, room)
+
+    def longest(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start in old, length) of the longest match at each of new's places begin..end-1."""
+        at = np.arange(begin, end)
+        upper = np.clip(self._places(at), min(1, len(self.old)), len(self.old))
+        above, below = self.suffixes[upper], self.suffixes[np.maximum(upper - 1, 0)]
+        n_above, n_below = self._agreeing(above, at), self._agreeing(below, at)
+        return np.where(n_below > n_above, below, above), np.maximum(n_below, n_above)
 
 
 def matches(old: bytes, new: bytes, min_match: int = MIN_MATCH, budget: int = MATCH_BUDGET) -> Iterator[tuple[int, int]]:
     """(old, new) positions of matches worth a new entry.
 
-    A match counts if it is longer by over min_match than what going on along the
-    last match's diagonal would give anyway.  `agree` letters of the next `known`
-    do agree on that diagonal.
+    The rule: after a match, places behind it are looked at in turn.  The longest match at a place is
+    worth it if it has over min_match letters more than agree, within its length, where the last
+    match's diagonal goes on; or if the matches looked at since the last one have `budget` letters in sum.  If all of its letters
+    agree on the diagonal, the next place is behind it, else it is the one after.
+
+    Places are judged many at once: in a block, those worth it and those that lead
+    further than one place are found for all of it, and the walk goes from one of these to the next.
     """
-    suffixes = suffix_array(old).tolist()
-    old_at, at, length = 0, 0, 0
-    while True:
-        diagonal = old_at - at
-        at += length
-        agree = known = seen = 0
-        while at < len(new):
-            old_at, length = longest_match(suffixes, old, new, at)
-            seen += length
-            if known < length:
-                i, j = at + known + diagonal, at + length + diagonal
-                a = np.frombuffer(old, np.uint8)[max(i, 0) : max(j, 0)]
-                b = np.frombuffer(new, np.uint8)[at + known : at + known + len(a)]
-                agree += int((a == b).sum())
-                known = length
-            if length > agree + min_match or seen >= budget:
-                yield old_at, at
-                break
-            if length == 0:
-                at += 1
-            elif length == agree:
-                at += agree
-                agree = known = 0
-            else:
-                if at + diagonal < len(old) and old[at + diagonal] == new[at]:
-                    agree -= 1
-                at += 1
-                known -= 1
-        else:
-            return
+    find = Matcher(old, new)
+    a, b = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
+    diagonal = at = 0
+    while at < len(new):
+        hit, seen, size = None, 0, 16
+        while hit is None and at < len(new):
+            n = min(size, len(new) - at)
+            start, length = find.longest(at, at + n)
+            place = np.arange(n)
+            reach = int((place + length).max())
+            along = np.arange(at, at + reach) + diagonal
+            inside = (along >= 0) & (along < len(old))
+            same = np.zeros(reach + 1, np.int64)
+            same[1:][inside] = a[along[inside]] == b[at : at + reach][inside]
+            agreed = np.cumsum(same)
+            agree = agreed[place + length] - agreed[place]
+            worth, leads = np.flatnonzero(length > agree + min_match), np.flatnonzero((length == agree) & (length > 1))
+            spent = np.concatenate([[0], np.cumsum(length)])
+            k = 0
+            while hit is None and k < n:
+                w, j = np.searchsorted(worth, k), np.searchsorted(leads, k)
+                last = int(leads[j]) if j < len(leads) else n - 1  # places k..last come in turn
+                over = int(np.searchsorted(spent[1:], budget - seen + spent[k]))
+                first = min(int(worth[w]) if w < len(worth) else n, max(over, k))
+                if first <= last:
+                    hit = first
+                else:
+                    seen += int(spent[last + 1] - spent[k])
+                    k = last + (int(length[last]) if j < len(leads) else 1)
+            if hit is None:
+                at, size = at + k, min(2 * size, 1 << 16)
+        if hit is not None:
+            old_at, at, n = int(start[hit]), at + hit, int(length[hit])
+            yield old_at, at
+            diagonal, at = old_at - at, at + n
 
 
 def naive_matches(old: bytes, new: bytes, least: int = 3) -> Iterator[tuple[int, int]]:
@@ -160,41 +241,40 @@ def naive_matches(old: bytes, new: bytes, least: int = 3) -> Iterator[tuple[int,
             at += 1
 
 
-def _best(same: np.ndarray) -> int:
-    """Length of the beginning with the best count of equal less unequal letters, the shortest of them."""
-    if not len(same):
-        return 0
-    score = np.cumsum(np.where(same, 1, -1))
-    k = int(score.argmax())
-    return k + 1 if score[k] > 0 else 0
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = min(len(a), len(b))
+    return a[:n] == b[:n]
+
+
+def _most(score: np.ndarray) -> int:
+    """How many steps, none included, lead to the largest sum; the fewest of them."""
+    return int(np.concatenate([[0], np.cumsum(score)]).argmax())
 
 
 def delta_entries(old: bytes, new: bytes, found: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(diff, extra, seek, start in old, start in new) of each entry of a delta."""
+    """(diff, extra, seek, start in old, start in new) of each entry of a delta.
+
+    An entry goes from one match to the next.  The match is carried on ahead, and the next one back towards
+    it, as far as letters that agree outnumber those that don't by the most; where both claim the same letters, they part
+    so that most agree.  What neither claims is extra.
+    """
     a, b = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
-    last_old = last_new = at = old_at = 0
-    while at < len(new):
-        hit = next(found, None)
-        old_at, at = hit if hit else (old_at, len(new))
-        back = 0
-        if at < len(new):
-            room = min(at - last_new, old_at)
-            back = _best(a[old_at - room : old_at][::-1] == b[at - room : at][::-1])
-        room = max(0, min(at - last_new, len(old) - last_old))
-        ahead = _best(a[last_old : last_old + room] == b[last_new : last_new + room])
-        overlap = last_new + ahead - (at - back)
-        if overlap > 0:
-            here = b[last_new + ahead - overlap : last_new + ahead]
-            first = a[last_old + ahead - overlap : last_old + ahead] == here
-            second = a[old_at - back : old_at - back + overlap] == here
-            score = np.cumsum(first.astype(np.int64) - second)
-            k = int(score.argmax())
-            give = k + 1 if score[k] > 0 else 0
-            ahead -= overlap - give
-            back -= give
-        seek = old_at - back - (last_old + ahead) if at < len(new) else 0
-        yield ahead, at - back - (last_new + ahead), seek, last_old, last_new
-        last_new, last_old = at - back, old_at - back
+    i = j = 0
+    for hit in itertools.chain(found, [None] if new else []):
+        s, t = hit or (len(old), len(new))
+        gap = t - j
+        ahead = _most(2 * _alike(a[i : i + gap], b[j:t]).astype(np.int64) - 1)
+        room = min(gap, s) if hit else 0
+        back = _most(2 * _alike(a[s - room : s][::-1], b[t - room : t][::-1]).astype(np.int64) - 1)
+        both = ahead + back - gap
+        if both > 0:
+            begin = t - back
+            claimed = b[begin : begin + both]
+            first, second = a[i + begin - j :][:both] == claimed, a[s - back :][:both] == claimed
+            k = _most(first.astype(np.int64) - second)
+            ahead, back = begin - j + k, back - k
+        yield ahead, gap - ahead - back, s - back - (i + ahead) if hit else 0, i, j
+        i, j = s - back, t - back
 
 
 def write_delta(old: bytes, new: bytes, min_match: int = MIN_MATCH, matcher: Callable | None = None) -> bytes:
