@@ -1,8 +1,8 @@
 """Budgets on what is uncompressed: walks that skip what no longer fits and go on.
 
-A walk is sequential within a pair of archives.  It runs as a fold over the
-pair's sorted sizes, inside the JVM; an archive has 65,534 entries at most, so a
-pair's list is bounded.  Only sizes and paths go into the list.
+A walk is sequential within a pair of archives.  It runs over the pair's sorted
+sizes in one task; an archive has 65,534 entries at most, so a pair's list is
+bounded.  Only sizes and paths go into the list.
 """
 
 from __future__ import annotations
@@ -12,19 +12,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import kernel
+
+
+def _walk(items, budget) -> list[bytes]:
+    """Paths of the items (size, path, cost) that no longer fit when their turn comes."""
+    over = []
+    for x in items:
+        if x["cost"] <= budget:
+            budget -= x["cost"]
+        else:
+            over.append(bytes(x["path"]))
+    return over
+
 
 def _budget(pairs: DataFrame, budget: Column, costs: Column, size: Column, charged: Column) -> DataFrame:
     """Rows of charged entries that don't fit become NEITHER / RESOURCE_CONSTRAINED.
 
     The walk goes by falling size, then falling path.
     """
-    item = F.struct(size.cast("long").alias("size"), F.col("new.path").alias("path"), costs.cast("long").alias("cost"))
+    item = F.struct(size.cast("long").alias("size"), F.col("new.path").cast("binary").alias("path"), costs.cast("long").alias("cost"))
     lists = pairs.filter(charged).groupBy("pair_id").agg(F.first(budget.cast("long")).alias("budget"), F.sort_array(F.collect_list(item), asc=False).alias("items"))
-    walked = lists.select("pair_id", F.aggregate(
-        "items",
-        F.struct(F.col("budget").alias("left"), F.array().cast("array<binary>").alias("over")),
-        lambda a, x: F.when(a["left"] >= x["cost"], F.struct((a["left"] - x["cost"]).alias("left"), a["over"].alias("over"))).otherwise(F.struct(a["left"].alias("left"), F.concat(a["over"], F.array(x["path"].cast("binary"))).alias("over"))),
-    )["over"].alias("over"))
+    walked = lists.select("pair_id", kernel(_walk, "array<binary>")("items", "budget").alias("over"))
     over = walked.select("pair_id", F.explode("over").alias("__path"), F.lit(True).alias("__over"))
     joined = pairs.withColumn("__path", F.col("new.path").cast("binary")).join(over, ["pair_id", "__path"], "left")
     hit = F.col("__over").isNotNull() & charged

@@ -24,8 +24,21 @@ def last_of_path(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def _side(catalog: DataFrame, side: str) -> DataFrame:
-    return catalog.select("pair_id", "path", F.struct(*catalog.columns).alias(side))
+def paired_sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(pair_id, path, old, new): every path of either archive once, with the last entry of each side in file order or null.
+
+    Both catalogues meet in one exchange by (pair_id, path).
+    """
+    kinds = {side: F.struct(*c.columns).alias(side) for side, c in (("old", old), ("new", new))}
+    empty = {side: F.lit(None).cast(c.select(kinds[side]).schema[side].dataType).alias(side) for side, c in (("old", old), ("new", new))}
+    rows = old.select("pair_id", "path", kinds["old"], empty["new"]).unionByName(new.select("pair_id", "path", empty["old"], kinds["new"]))
+    return rows.groupBy("pair_id", "path").agg(*(F.max_by(side, F.col(f"{side}.local_off")).alias(side) for side in ("old", "new")))
+
+
+def _by_role(sides: DataFrame, as_base: Column, as_new: Column) -> DataFrame:
+    """Rows of paired_sides() as one row for each side that is there; a window by checksum can then look at both."""
+    roles = F.array_compact(F.array(F.when(F.col("old").isNotNull(), as_base), F.when(F.col("new").isNotNull(), as_new)))
+    return sides.select("pair_id", F.explode(roles).alias("role")).select("pair_id", "role.*")
 
 
 def first_of_crc(missed: DataFrame, old: DataFrame) -> DataFrame:
@@ -41,13 +54,26 @@ def first_of_crc(missed: DataFrame, old: DataFrame) -> DataFrame:
 def match_entries(old: DataFrame, new: DataFrame, finder=first_of_crc) -> DataFrame:
     """(pair_id, new, old, matched_by): each new entry that has a base.
 
-    A base has the same path, or else is what the finder finds.  Rows are shuffled
-    by (pair_id, path) once; only those without a base by path go on to the finder.
+    A base has the same path, or else is what the finder finds.  With the usual finder each catalogue is
+    read once and rows are exchanged twice, by (pair_id, path) and by (pair_id, checksum).  For
+    another finder the sides are written, as three branches read them.
     """
-    o, n = _side(last_of_path(old), "old"), _side(last_of_path(new), "new")
-    by_path = n.join(o, ["pair_id", "path"]).select("pair_id", "new", "old", F.lit("path").alias("matched_by"))
-    missed = n.join(o.select("pair_id", "path"), ["pair_id", "path"], "left_anti")
-    return by_path.unionByName(finder(missed, o))
+    sides = paired_sides(old, new)
+    if finder is first_of_crc:
+        kind = sides.schema
+        none = {side: F.lit(None).cast(kind[side].dataType) for side in ("old", "new")}
+        roles = _by_role(
+            sides,
+            F.struct(F.col("old.crc32").alias("crc32"), F.col("old").alias("candidate"), none["new"].alias("new"), none["old"].alias("own")),
+            F.struct(F.col("new.crc32").alias("crc32"), none["old"].alias("candidate"), F.col("new").alias("new"), F.col("old").alias("own")),
+        )
+        first = F.min_by("candidate", F.col("candidate.local_off")).over(Window.partitionBy("pair_id", "crc32"))
+        based = roles.withColumn("first", first).filter("new is not null and (own is not null or first is not null)")
+        return based.select("pair_id", "new", F.coalesce("own", "first").alias("old"), F.when(F.col("own").isNotNull(), "path").otherwise("crc32").alias("matched_by"))
+    sides = cut_lineage(sides)
+    by_path = sides.filter("old is not null and new is not null").select("pair_id", "new", "old", F.lit("path").alias("matched_by"))
+    missed = sides.filter("old is null").select("pair_id", "path", "new")
+    return by_path.unionByName(finder(missed, sides.filter("old is not null").select("pair_id", "path", "old")))
 
 
 def similar_by_crc(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -57,17 +83,21 @@ def similar_by_crc(new: DataFrame, old: DataFrame) -> DataFrame:
     first old path of the checksum) by rank.  Classes and members are listed rather
     than pairs, which grow with the square of a class.
     """
-    w = Window.partitionBy("pair_id", "crc32").orderBy("local_off")
-    o, n = (last_of_path(c).select("pair_id", "crc32", "path", F.row_number().over(w).alias("rank")) for c in (old, new))
-    base = o.filter("rank = 1").select("pair_id", "crc32", F.col("path").alias("base"))
-    key = ["pair_id", "crc32"]
-    olds = o.join(n.filter("rank = 1").select(*key), key, "left_semi").join(base, key).withColumn("side", F.lit("old"))
-    return olds.unionByName(n.join(base, key).withColumn("side", F.lit("new"))).select("pair_id", "base", "side", "path", "rank")
+    role = {side: F.struct(F.lit(side).alias("side"), F.col(f"{side}.crc32").alias("crc32"), F.col("path"), F.col(f"{side}.local_off").alias("local_off")) for side in ("old", "new")}
+    rows = _by_role(paired_sides(old, new), role["old"], role["new"])
+    same = Window.partitionBy("pair_id", "crc32")
+    is_old = F.col("side") == "old"
+    rows = rows.withColumns({
+        "rank": F.row_number().over(Window.partitionBy("pair_id", "crc32", "side").orderBy("local_off")),
+        "base": F.min_by(F.when(is_old, F.col("path")), F.when(is_old, F.col("local_off"))).over(same),
+        "n_sides": F.max(is_old.cast("int")).over(same) + F.max((~is_old).cast("int")).over(same),
+    })
+    return rows.filter("n_sides = 2").select("pair_id", "base", "side", "path", "rank")
 
 
 def new_only(old: DataFrame, new: DataFrame) -> DataFrame:
     """New entries whose path the old archive doesn't have."""
-    return last_of_path(new).join(old.select("pair_id", "path").distinct(), ["pair_id", "path"], "left_anti")
+    return paired_sides(old.select("pair_id", "path", "local_off"), new).filter("old is null").select("new.*")
 
 
 def is_deflate(side: str) -> Column:
