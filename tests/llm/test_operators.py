@@ -199,16 +199,23 @@ def test_token_counts(docs, empty, library):
 
 
 def test_prefix_counts(docs, library):
+    """Counts and what fits, at every prefix, against the library; special strings whole and cut short, too."""
     counter = tokencounts.PrefixCounter(WORD)
-    for t in [t[:160] for _, t in ROWS if t and "<|" not in t]:
+    marked = ["hello <|endoftext|> world", "a!!<|startoftext|>!!b <|endoftext|><|endoftext|>", "<|endoftext|>", "x<|endoftext|", "it's<|endoftext|>'s Ünï", "<|<|startoftext|>|>"]
+    for t in [t[:160] for _, t in ROWS if t] + marked:
         p = counter.prefixes(t)
         counts = p.counts()
         assert counts == [len(library[WORD].encode(p.text[:i], add_special_tokens=False).ids) for i in range(len(p.text) + 1)], t
-        for budget in (0, 1, 5, 40, 10**6):
-            n = p.fits(budget)
-            assert counts[n] <= budget or n == 0
+        assert counts[-1] == counter.count(t) and len(p.text) == counter.counted(t)[1]
+        for budget in range(max(counts) + 2):
+            assert p.fits(budget) == max(i for i, n in enumerate(counts) if n <= budget), (t, budget)
     row = tokencounts.prefix_counts(docs.filter("doc_id = 10"), WORD, (3,)).first()
     assert row["counts"][-1] == counter.count(TEXTS[10]) and len(row["fits"]) == 1
+    for r in tokencounts.token_counts(docs, WORD, limit=100).collect():
+        if r["doc_id"] is not None and r["doc_id"] in range(len(TEXTS)) and r["doc_id"] != 3:
+            p = counter.prefixes(TEXTS[r["doc_id"]])
+            n = r["fits"]
+            assert p.count_at(n) <= 100 and (n == len(p.text) or p.count_at(n + 1) > 100)
 
 
 def brute_statistics(t):

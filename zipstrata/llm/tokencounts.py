@@ -168,26 +168,53 @@ class PrefixCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of the whole text."""
-        total, known = -1, self.words.get
+        return self.counted(text)[0]
+
+    def counted(self, text: str | None) -> tuple[int, int]:
+        """(tokens, characters of the normalised form) of the whole text."""
+        total, size, known = -1, 0, self.words.get
         for part in self.parts(text):
             total += 1
-            for w in self.word.findall(self.normalised(part)):
+            part = self.normalised(part)
+            size += len(part)
+            for w in self.word.findall(part):
                 total += known(w) or self._count(w)
-        return total
+        if total:  # the special strings between the parts stay as they are
+            size += sum(map(len, self.special.findall(text))) if self.special is not None and any(a in text for a in self.added) else 0
+        return total, size
 
     def prefixes(self, text: str | None) -> Prefixes:
-        """The stored counts of a text without special strings, by the characters of its normalised form."""
-        return Prefixes(self, self.normalised(text or ""))
+        """The stored counts of a text, by the characters of its normalised form (special strings stay as they are)."""
+        return Prefixes(self, text)
 
 
 class Prefixes:
-    """Counts at every prefix of one normalised text."""
-
-    def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text = counter, text
-        spans = [m.span() for m in counter.word.finditer(text)]
-        self.start, self.end = [a for a, _ in spans], [b for _, b in spans]
-        self.before = np.concatenate([[0], np.cumsum([counter._count(text[a:b]) for a, b in spans], dtype=np.int64)]).tolist()
+    """Counts at every prefix of one text, whose normalised form is `text`."""
+
+    def __init__(self, counter: PrefixCounter, text: str | None):
+        self.counter = counter
+        parts = [counter.normalised(p) for p in counter.parts(text)]
+        marks = counter.special.findall(text) if len(parts) > 1 else []
+        self.start, self.end, tokens = [], [], []  # of words, and of special strings as words of one token
+        self.marks: set[int] = set()  # which of them are special
+        self.text, at = "", 0
+        pieces = []
+        for k, part in enumerate(parts):
+            for m in counter.word.finditer(part):
+                self.start.append(at + m.start())
+                self.end.append(at + m.end())
+                tokens.append(counter._count(m[0]))
+            pieces.append(part)
+            at += len(part)
+            if k < len(marks):
+                self.marks.add(len(self.start))
+                self.start.append(at)
+                self.end.append(at + len(marks[k]))
+                tokens.append(1)
+                pieces.append(marks[k])
+                at += len(marks[k])
+        self.text = "".join(pieces)
+        self.before = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)]).tolist()
         self.within: dict[str, list[int]] = {}
 
     def count_at(self, i: int) -> int:
@@ -195,6 +222,8 @@ class Prefixes:
         k = bisect_right(self.end, i)
         total = self.before[k]
         if k < len(self.start) and self.start[k] < i:
+            if k in self.marks:
+                return self._cut_mark(k, i)
             word, cut = self.text[self.start[k] : self.end[k]], self.text[self.start[k] : i]
             if "'" in cut:  # a contraction cut short is other words than its beginning
                 return total + sum(map(self.counter._count, self.counter.word.findall(cut)))
@@ -203,14 +232,30 @@ class Prefixes:
             total += self.within[word][len(cut.encode())]
         return total
 
+    def _cut_mark(self, k: int, i: int) -> int:
+        """A special string cut short is plain text, and may go on a word before it; words end at white space."""
+        first = k
+        while first and self.end[first - 1] == self.start[first] and first - 1 not in self.marks:
+            first -= 1
+        plain = self.text[self.start[first] : i]
+        return self.before[first] + sum(map(self.counter._count, self.counter.word.findall(self.counter.normalised(plain))))
+
     def counts(self) -> list[int]:
         """Tokens of text[:i] for every i from 0 to its length."""
         return [self.count_at(i) for i in range(len(self.text) + 1)]
 
     def fits(self, budget: int) -> int:
-        """Characters of the longest run of whole words from the start with at most budget tokens."""
+        """Characters of the longest prefix with at most budget tokens.
+
+        Whole words come first, from their running sum; only the word that no longer fits is looked into.
+        """
         k = bisect_right(self.before, budget) - 1
-        return len(self.text) if k == len(self.end) else self.end[k - 1] if k else 0
+        if k == len(self.end):
+            return len(self.text)
+        i = self.end[k]
+        while i > self.start[k] and self.count_at(i) > budget:
+            i -= 1
+        return i
 
 
 _LOADED: dict[str, PrefixCounter] = {}
@@ -223,17 +268,26 @@ def loaded(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every row.  No shuffle; lengths are taken in the JVM."""
+    """(id, n_bytes, n_tokens, fits, over_limit) of every row.  No shuffle; lengths are taken in the JVM.
+
+    fits: characters of the normalised text in its longest prefix of at most limit tokens, where it
+    may be truncated; the prefix table of a text tells, without encoding it again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path)
         for b in batches:
-            n = [counter.count(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+            n, fits = [], []
+            for t in b.column(1):
+                text = t.as_py()
+                tokens, size = counter.counted(text)
+                n.append(tokens)
+                fits.append(size if tokens <= limit else counter.prefixes(text).fits(limit))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fits, pa.int64())], [id_col, "n_bytes", "n_tokens", "fits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("__n"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, fits long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def prefix_counts(docs: DataFrame, path: str, budgets: tuple[int, ...] = (512, 1024, 2048), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
