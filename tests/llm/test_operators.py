@@ -294,6 +294,68 @@ def test_next_document_over_many_blocks(spark):
     assert {r["doc_id"]: r["next_text"] for r in rows} == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
+def test_next_document_of_odd_ids(spark, monkeypatch):
+    """An id far from the others, no ids at all, one id for all: no block gets large, and every row has its next."""
+    r = random.Random(3)
+    for ids in ([*range(600), 10**18, -(10**18)], [None] * 500, [7] * 500, [*([None] * 200), *range(200), *([9] * 200)]):
+        data = [(i, f"t{k}") for k, i in enumerate(ids)]
+        r.shuffle(data)
+        d = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+        sizes = []
+        rows = syncmers.with_next(d, "doc_id", F.xxhash64("text"), ["text"], rows_a_block=5)
+        got = {x["text"]: x["next_text"] for x in rows.collect()}
+        signed = spark.createDataFrame(data, "doc_id long, text string").select("text", F.xxhash64("text").alias("h"))
+        h = {x["text"]: x["h"] for x in signed.collect()}
+        order = [t for _, t in sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), h[x[1]]))]
+        assert got == dict(zip(order, order[1:] + order[:1]))
+        keyed = d.withColumn("k", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("id"), F.xxhash64("text").alias("tie")))
+        cuts = syncmers._cuts(keyed.select("k"), len(ids) // 5)
+        sizes = [x["count"] for x in keyed.groupBy(syncmers._block_of(cuts, F.col("k")).alias("b")).count().collect()]
+        assert max(sizes) < 60 and len(sizes) > len(ids) // 15
+
+
+def brute_sketch(t, size=64):
+    """(sketch, anchors) word by word."""
+    import struct
+
+    import xxhash
+
+    def chain(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), seed)
+        return struct.unpack("<q", struct.pack("<Q", seed))[0]
+
+    h = [chain([w]) for w in WORDS.findall(t)]
+    s = [chain(h[i : i + 2]) for i in range(len(h) - 1)]
+    found = []
+    for i in range(len(s) - 3):
+        if s.index(min(s[i : i + 4]), i) in (i, i + 3) or s[i + 3] == min(s[i : i + 4]):
+            found.append((i, (chain([s[i], s[i + 2], h[i + 4]]) & (1 << 64) - 1) >> 33))
+    whole = [(chain([t]) & (1 << 64) - 1) >> 33]
+    return sorted({x for _, x in found})[:size] or whole, found
+
+
+def test_syncmers_against_plain_python(docs):
+    anchors = pairs(syncmers.anchors(docs), "anchors")
+    order = sorted(ROWS, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    got = {r["doc_id"]: r for r in syncmers.edited_fingerprints(docs).collect()}
+
+    def likeness(a, b):
+        least = sorted(set(a) | set(b))[:64]
+        return len(set(a) & set(b) & set(least)) / len(least)
+
+    for k, (i, t) in enumerate(order):
+        sketch, found = brute_sketch(t or "")
+        assert [(x["at"], x["hash"]) for x in anchors[i][0]] == found
+        assert got[i]["fingerprint"] == "".join(f"{x:08x}" for x in sketch)
+        after = order[(k + 1) % len(order)][1] or ""
+        if i != 3:  # a repeated row: either comes next
+            n = len(t or "")
+            edited, _ = brute_sketch((t or "")[: n - n // 2] + after[: n // 2])
+            assert got[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in edited)
+            assert got[i]["near_edited"] == likeness(sketch, edited) and got[i]["near_next"] == likeness(sketch, brute_sketch(after)[0])
+
+
 def test_syncmers_are_context_free(spark):
     middle = prose(60, 30)
     d = spark.createDataFrame([(1, prose(40, 31) + middle + prose(40, 32)), (2, prose(15, 33) + middle), (3, prose(100, 34))], "doc_id long, text string")
