@@ -10,13 +10,13 @@ pass up sums each subtree's gain, one pass down opens what gains.  So a paragrap
 can't be kept inside a dropped menu, nor a container dropped around kept text.
 
 The trees are trained on the driver from a bounded sample: `max_pages` pages
-of the table that mark their article by its element, and `templates` generated
+of the table (`max_bytes` in all) that mark their article by its element, and `templates` generated
 pages, whose labels are known as they are made and which have the furniture that
 the table lacks (sidebars, notices, adverts and forms within articles, reader comments).
 
 Edge cases: null, empty and text-free pages have the empty text; unclosed and
 stray tags, comments and scripts without an end are taken as browsers do, roughly; pages of any
-length are read whole; repeated rows are rows of their own; an empty table
+length are read whole, in time in proportion to it, however broken; repeated rows are rows of their own; an empty table
 trains on templates alone and gives an empty result.
 """
 
@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, table, training_texts
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</([a-z][^\s/>]*)[^>]*>|<([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile("[>\"']")
+#: Elements whose content is no markup, with what ends them.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea svg iframe".split()}
+DEPTH = 512  # elements that are open at once, as in browsers; deeper ones become siblings
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|data-main)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +54,59 @@ _GROUP = {t: i for i, group in enumerate(_HEAD) for t in group}
 FEATURES = 24
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, tag, attributes) of every tag; an end tag begins with "/", comments, declarations and raw elements have the tag "".
+
+    The position never goes back: a tag ends at the first ">" outside quotes.  Where
+    quotes leave it without an end, they aren't heeded from there on, and behind the last ">" there are no tags.
+    """
+    last, at, quotes = html.rfind(">"), 0, True
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        if html.startswith("<!--", start):
+            at = html.find("-->", start + 4)
+            at = len(html) if at < 0 else at + 3
+            yield start, at, "", ""
+            continue
+        if start > last:  # only a comment can come yet
+            at = html.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        if html[start + 1 : start + 2] in ("!", "?"):
+            at = html.find(">", start) + 1
+            yield start, at, "", ""
+            continue
+        name = _TAG_NAME.match(html, start + 1)
+        if name is None:
+            at = start + 1
+            continue
+        tag, inside = name[0].lower(), name.end()
+        if tag[0] == "/" or tag in _RAW or not quotes:
+            end = html.find(">", inside)
+        else:
+            end = inside
+            while m := _TAG_STOP.search(html, end):
+                if m[0] == ">":
+                    end = m.start()
+                    break
+                end = html.find(m[0], m.end()) + 1
+                if not end:
+                    m = None
+                    break
+            if m is None:
+                quotes, end = False, html.find(">", inside)
+        at = end + 1
+        if tag in _RAW:
+            close = _RAW[tag].search(html, at)
+            at = close.end() if close else len(html)
+            yield start, at, "", ""
+        else:
+            yield start, at, tag, html[inside:end]
+
+
 class Page:
     """Nodes of a page in document order: tag, parent, attribute words; and the text as (node, string, starts a block)."""
 
@@ -61,21 +115,24 @@ class Page:
         self.texts: list[tuple[int, str, bool]] = []
         html, at, fresh = html or "", 0, True
         stack = [0]
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                fresh = self._text(html[at : m.start()], stack[-1], fresh)
-            at = m.end()
-            if m[3]:
-                tag = m[3].lower()
+        for start, end, tag, attributes in tokens(html):
+            if start > at:
+                fresh = self._text(html[at:start], stack[-1], fresh)
+            at = end
+            if not tag:
+                continue
+            if tag[0] != "/":
                 if tag in BLOCK or tag == "br":
                     fresh = True
                 if tag in VOID:
                     continue
                 self._make_room(tag, stack)
-                words, marked = self._words(m[4])
-                stack.append(self._node(tag, stack[-1], words, marked))
-            elif m[2]:
-                tag = m[2].lower()
+                words, marked = self._words(attributes)
+                node = self._node(tag, stack[-1], words, marked)
+                if len(stack) < DEPTH:
+                    stack.append(node)
+            else:
+                tag = tag[1:]
                 if tag in BLOCK:
                     fresh = True
                 for k in range(len(stack) - 1, 0, -1):
@@ -356,13 +413,12 @@ def article_labels(page: Page) -> np.ndarray | None:
     return y
 
 
-def fit(pages: DataFrame, max_pages: int = 300, templates: int = 500, html_col: str = "html", id_col: str = "page_id", seed: int = 1) -> Trees:
-    """Trees from at most max_pages pages, by a hash of their id, and from templates."""
+def fit(pages: DataFrame, max_pages: int = 300, templates: int = 500, max_bytes: int = 64 << 20, html_col: str = "html", id_col: str = "page_id", seed: int = 1) -> Trees:
+    """Trees from at most max_pages pages of max_bytes in all, by a hash of their id, and from templates."""
     ids = bounded_sample(pages.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), id_col, max_pages)
-    rows = pages.select(id_col, html_col).join(F.broadcast(ids), id_col).limit(2 * max_pages).collect()
     x, y = [], []
-    for r in sorted(rows, key=lambda r: (r[0], r[1] or "")):
-        page = Page(r[1])
+    for _, html, _ in training_texts(pages, ids.withColumn("label", F.lit(1)), id_col, html_col, max_pages, max_bytes):
+        page = Page(html)
         of = article_labels(page)
         if of is not None:
             x.append(page.features())
