@@ -300,15 +300,21 @@ def components(links: DataFrame) -> DataFrame:
     checkpoint folder after each round.
     """
     mark = [F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 40)), F.lit(0))]
-    now = cut_lineage(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+    def written(links: DataFrame, n: int | None) -> DataFrame:
+        """links in the checkpoint folder; of about n links no more files than they are worth."""
+        return cut_lineage(links if n is None else links.coalesce(n // 100_000 + 1))
+
+    now = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None)
     was, seen = None, tuple(now.agg(*mark).first())
+    now = now.coalesce(seen[0] // 100_000 + 1)
     while seen != was and seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        now = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        now = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         now = now.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = cut_lineage(now)
+        now = written(now, seen[0])
         was, seen = seen, tuple(now.agg(*mark).first())
     return now
 

@@ -1,8 +1,7 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come in two ways, and whole sets decide.  First SimHash fingerprints of
-the same shingles that meet at an anchor (see simhash): they give most near copies, and join
-crowds of them without pairs.  Sets of similarity 0.8 differ in some 10 of 64 bits,
+Candidates come in two ways, and whole sets decide.  SimHash fingerprints of
+the same shingles that meet at an anchor (see simhash) join crowds of near copies without pairs.  Sets of similarity 0.8 differ in some 10 of 64 bits,
 though, and covering so many would copy each fingerprint to thousands of anchors, so
 the rest comes from an exact way: two such sets share a shingle among the
 first n - ceil(0.8 n) + 1 of either, in any order that all documents use.  Here shingles of over
@@ -10,7 +9,7 @@ first n - ceil(0.8 n) + 1 of either, in any order that all documents use.  Here
 first shingles as (shingle, key, size); documents with equal sets have one key.
 All pairs of a shingle's documents that sizes allow are counted, and pairs with too few common first shingles
 for a similarity of 0.8 dropped: beyond the first shingles of one, they share at
-most the rest of that one.  Those that aren't in one group already are compared on their whole sets.
+most the rest of that one.  The others are compared on their whole sets.
 
 A shingle with over `crowd` documents makes no pairs.  Documents that such shingles join are put in the order of
 their sizes and dealt into blocks; two blocks whose sizes allow it meet in one task, which counts the
@@ -282,21 +281,13 @@ def similar_groups(docs: DataFrame, width: int = 5, common: int = 50, crowd: int
         sent = seats.join(members, ["crowd", "block"]).join(sets, "key").select("crowd", "one", "other", "key", "root", "shingles")
         return cut_lineage(sent.groupBy("crowd", "one", "other").applyInArrow(_meet_in_blocks, "u long, v long").distinct())
 
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """(u, v) of the pairs whose ends have different roots."""
-        for end in ("u", "v"):
-            pairs = pairs.join(roots.select(F.col("u").alias(end), F.col("v").alias(f"root_{end}")), end, "left")
-        return pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-
     met = cut_lineage(rows.mapInArrow(send, "bucket int, members binary").groupBy("bucket").applyInArrow(meet, "u long, v long, common long, beyond long, sizes long, size long"))
     counted = met.filter("size = 0").groupBy("u", "v").agg(F.sum("common").alias("common"), F.max("beyond").alias("beyond"), F.max("sizes").alias("sizes"))
-    linked = verified(_simhash_pairs(printed, most))
-    roots = simhash.components(linked)
-    linked = linked.union(verified(apart(counted.filter("9 * (common + beyond) >= 4 * sizes").select("u", "v"), roots)))
-    roots = simhash.components(linked)
+    likely = counted.filter("9 * (common + beyond) >= 4 * sizes").select("u", "v")
+    roots = simhash.components(verified(_simhash_pairs(printed, most).unionByName(likely)))
     big = met.filter("size > 0")
     if not big.isEmpty():
-        roots = simhash.components(linked.union(crowded(big.select("u", "v", "size"), roots)))
+        roots = simhash.components(roots.union(crowded(big.select("u", "v", "size"), roots)))
     return printed.join(roots.withColumnRenamed("u", "key"), "key", "left").select("id", "tie", F.coalesce("v", "key").alias("root"))
 
 
