@@ -230,3 +230,39 @@ def test_queries_agree_with_sql(spark, name):
     got = q.QUERIES[name](spark, sf)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == rows
+
+
+def test_plan_of_matching(spark, tmp_path):
+    """One scan a side; one exchange by path, one by checksum."""
+    rows = [("p", f"/f{i}", 8, i % 7, 10, 20, i, f"d{i}", None) for i in range(50)]
+    kind = "pair_id string, path string, method int, crc32 long, csize long, usize long, local_off long, digest string, params struct<level:int,strategy:int,nowrap:boolean>"
+    for side in ("old", "new"):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{side}")
+    pairs = matching.plan_pairs(*(spark.read.parquet(f"{tmp_path}/{side}") for side in ("old", "new")))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and "path" in exchanges[1] and "crc32" in exchanges[0] and "Join" not in plan
+    assert pairs.count() == 50
+
+
+def test_budget_walk_of_a_full_archive():
+    import time
+
+    n = 65_534
+    items = [{"size": n - i, "path": b"/%06d" % i, "cost": n - i} for i in range(n)]
+    began = time.process_time()
+    over = limits._walk(items, n // 2)
+    assert time.process_time() - began < 1
+    assert over[0] == b"/000000" and len(over) == n - 1
+
+
+def test_paths_are_listed_by_utf16_units(spark):
+    """A character beyond the basic plane comes before U+FF5E, as its surrogates do."""
+    paths = ["b", "\U0001f600", "～", "a", "퟿"]
+    rows = spark.createDataFrame([("p", p, True, None, 1) for p in paths], "pair_id string, path string, is_new boolean, reason string, size_in_patch long")
+    want = sorted(paths, key=lambda p: p.encode("utf-16-be"))
+    assert want != sorted(paths)
+    assert [r["path"] for r in explain.in_path_order(rows).orderBy("position").collect()] == want
+    report = explain.text_report(rows).first()["report"].splitlines()
+    assert [line.split("'")[1] for line in report[:5]] == want

@@ -9,6 +9,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..checkpoints import cut_lineage
 from ..functions.bindiff import write_delta
@@ -89,12 +90,23 @@ def explain_archives(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
     return explain_patch(c, d, stored_bytes(old, c), stored_bytes(new, d), *modifiers)
 
 
+def path_order(path: str) -> Column:
+    """What paths are listed by: their UTF-16 code units."""
+    return F.encode(F.col(path).cast("string"), "UTF-16BE")
+
+
+def in_path_order(explained: DataFrame) -> DataFrame:
+    """explained with position: its place in the pair's list by path, changed entries before new ones."""
+    return explained.withColumn("position", F.row_number().over(Window.partitionBy("pair_id").orderBy(path_order("path"), "is_new")))
+
+
 def _lists(explained: DataFrame) -> DataFrame:
     """A row a pair: each category's entries by path (an archive has a bounded number), and the sums."""
-    row = F.struct("path", "is_new", "reason", "size_in_patch")
+    fields = ("path", "is_new", "reason", "size_in_patch")
+    row = F.struct(path_order("path").alias("order"), *fields)
     c = category()
     return explained.groupBy("pair_id").agg(
-        *(F.array_sort(F.collect_list(F.when(c == k, row))).alias(k) for k in CATEGORIES),
+        *(F.transform(F.array_sort(F.collect_list(F.when(c == k, row))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(k) for k in CATEGORIES),
         *(F.coalesce(F.sum(F.when(c == k, F.col("size_in_patch"))), F.lit(0)).alias(f"size_{k}") for k in CATEGORIES),
     )
 
@@ -110,7 +122,7 @@ def _text(x) -> str:
 
 
 def legacy_json_report(explained: DataFrame) -> DataFrame:
-    """(pair_id, report) in the older notation: bare keys, single quotes, undefined."""
+    """(pair_id, report) in the older notation: bare keys, single quotes, undefined.  The wording is a fixed value."""
 
     def write(new, changed, free, constrained, n, c, r):
         def entries(name, rows):
@@ -128,7 +140,7 @@ def legacy_json_report(explained: DataFrame) -> DataFrame:
 
 
 def text_report(explained: DataFrame) -> DataFrame:
-    """(pair_id, report): a line an entry (constrained ones are only counted), then counts and sums."""
+    """(pair_id, report): a line an entry (constrained ones are only counted), then counts and sums.  The wording is a fixed value."""
 
     def write(new, changed, free, constrained, n, c, r):
         lines = [f"New file '{_text(x['path'])}', approximate size of data in patch: {x['size_in_patch']} bytes" for x in new]

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import proofs
 from .checkpoints import cut_lineage
 from .functions import bindiff, codec, text
 from .functions.kernels import kernel
@@ -252,7 +253,7 @@ QUERIES = {f.__name__: f for f in (
     distinct_ranges, gap_ranges, inverse_ranges, blob_sizes, range_overlap_check, next_entry_bound, explain_category_totals, explain_summary,
     explain_sorted, explain_text_report, explain_json_report, explain_sizes, params_text, sha256_content, byte_ranges, zip_catalog, deflate_roundtrip, divine_params,
     delta_friendly_blob, bsdiff_roundtrip, bsdiff_entries, gdiff_apply, patch_roundtrip, zlib_fingerprints,
-)}
+)} | proofs.QUERIES
 
 # ---------------------------------------------------------------- the same in SQL
 
@@ -345,4 +346,4 @@ ORACLES = {
     "gdiff_apply": "SELECT doc_id, md5('abc' || text || 'yz') AS out_md5 FROM documents",
     "patch_roundtrip": "SELECT 'a' || (doc_id // 50) AS pair_id, TRUE AS identical, count(*) AS n_entries FROM documents GROUP BY ALL",
     "zlib_fingerprints": "SELECT * FROM (VALUES " + ", ".join(f"({level}, {strategy}, {nowrap}, '{sha}')" for level, strategy, nowrap, sha in codec.baseline()) + ") t(level, strategy, nowrap, sha256)",
-}
+} | proofs.oracles(f"{_ENTRIES}, {_TRL}, {_EXPLAINED}")

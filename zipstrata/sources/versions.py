@@ -69,8 +69,13 @@ def zip_bytes(rows) -> bytes:
     return out.getvalue()
 
 
+def zipped(rows: DataFrame, newest_first: bool) -> DataFrame:
+    """(pair_id, content): a zip archive of each pair's rows (pair_id, doc_id, path, content, level)."""
+    make = kernel(lambda rows: zip_bytes([(r["path"], r["content"].encode(), r["level"]) for r in rows]), "binary")
+    listed = dealt_by(rows, "pair_id").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "path", "content", "level")), asc=not newest_first).alias("rows"))
+    return listed.select("pair_id", make("rows").alias("content"))
+
+
 def archives(docs: DataFrame, side: str, entries: int = 50) -> DataFrame:
     """(pair_id, content): zip archives of at most `entries` documents; the new ones list them in reverse."""
-    make = kernel(lambda rows: zip_bytes([(r["path"], r["content"].encode(), r["level"]) for r in rows]), "binary")
-    rows = dealt_by(contents(docs, side, entries), "pair_id").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "path", "content", "level")), asc=side == "old").alias("rows"))
-    return rows.select("pair_id", make("rows").alias("content"))
+    return zipped(contents(docs, side, entries), side == "new")
