@@ -6,7 +6,8 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from test_operators import BYTE, brute_components, brute_fingerprint, brute_removal, brute_statistics
+from test_operators import BYTE, ROWS, brute_removal, brute_statistics
+from test_similar import brute_kept
 
 import corpus_pipeline
 from zipstrata.llm import quality, queries, toxicity
@@ -36,8 +37,7 @@ def test_stages_against_plain_python(spark, tmp_path, documents):
             verdicts = {r["doc_id"]: r["__q_kept"] for r in quality.judged(docs, rules).collect()}
             rows = [(i, t) for i, t in passed if verdicts[i]]
         elif name == "near_dedup":
-            least = brute_components([(i, brute_fingerprint(t)) for i, t in rows], lambda a, b: (a ^ b).bit_count() <= 2)
-            rows = [(i, t) for (i, t), c in zip(rows, least) if i == c]
+            rows = brute_kept(rows)  # five-word shingles, a similarity of 0.8 or more
         elif name == "substring_dedup":
             rows = [(i, kept.decode() if removed else t) for (i, t), (_, removed, kept) in zip(rows, brute_removal(rows, 20))]
         docs = stage(spark, docs, SF)
@@ -62,9 +62,47 @@ def test_stages_against_plain_python(spark, tmp_path, documents):
         assert at == len(want[i])
 
 
-def test_run_is_the_stages(spark):
-    packed = corpus_pipeline.run(spark, SF)
-    assert packed.groupBy("doc_id").count().count() > 50
+def test_run_is_the_stages(spark, tmp_path):
+    """run() gives what the stages give one after the other, each written and read again."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    got, want = (sorted(tuple(r) for r in d.select(*columns).collect()) for d in (corpus_pipeline.run(spark, SF), docs))
+    assert got == want and len({r[0] for r in got}) > 50
+
+
+def awkward(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    data = [*ROWS, (None, a), (None, b), (70, a + " and more of it"), (70, b), (70, b), (71, "x " + a), (72, None), (72, ""), (73, b + " c " + a)]
+    rows = [(i, t, "xx", "src", None if t is None else len(t), "own", 1) for i, t in data]
+    return data, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, tie int").repartition(3).cache()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, name):
+    """Null, repeated and shared ids, null and empty texts, extra columns with names used inside, an empty table."""
+    data, docs = awkward(spark)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, SF)
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.count() == 0
+    if name == "packing":
+        assert out.select("doc_id").distinct().count() == len({i for i, _ in data})
+        return
+    assert out.columns == docs.columns == empty.columns and {r["spans"] for r in out.collect()} <= {"own"}
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    if name == "near_dedup":
+        assert got == sorted(brute_kept(data), key=repr)
+    elif name == "substring_dedup":
+        assert got == sorted(((i, kept.decode() if removed else t) for (i, t), (_, removed, kept) in zip(data, brute_removal(data, 20))), key=repr)
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+    elif name == "quality":
+        assert all(not brute_statistics(t)[5] for _, t in got) and set(got) <= set(data)
+    else:
+        assert len(got) == len(data)  # nothing toxic here
 
 
 def test_queries_keep_their_contracts(spark, documents):
