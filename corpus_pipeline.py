@@ -1,8 +1,15 @@
 """From raw documents to training sequences: the stages of the corpus pipeline.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.  Models are learned from the labels table of
-sf_dir; everything else depends on the stage's own input alone.
+return the columns of documents, and any others that docs has.  Models are learned from the labels table of
+sf_dir; everything else depends on the stage's own input alone.  Models are fitted, and what
+several steps read is written, when a stage is called; the rest runs when its result is read.
+
+Edge cases: a null text counts as the empty one, which is clean, fails the base quality rule, is a
+group of its own and packs as its closing id; rows are told apart by id and text, so repeated and null ids are
+no harm (near copies leave the row with the least id, null ids last, and one of rows alike
+in both); without labels nothing is toxic and the base rule alone judges quality; an empty table gives
+an empty result; texts of any length are read whole.
 """
 
 from __future__ import annotations
