@@ -15,7 +15,7 @@ from ..checkpoints import cut_lineage
 from ..functions.bindiff import write_delta
 from ..functions.codec import deflate, inflate
 from ..functions.kernels import kernel
-from ..sources.zipfiles import catalog
+from ..sources.zipfiles import catalog, stored_entries
 from .matching import new_only, plan_pairs
 
 CATEGORIES = ("new", "changed", "unchanged_or_free", "resource_constrained")
@@ -78,16 +78,10 @@ def explain_patch(old: DataFrame, new: DataFrame, old_bytes: DataFrame, new_byte
     return fresh.unionByName(free).unionByName(paid)
 
 
-def stored_bytes(archives: DataFrame, entries: DataFrame) -> DataFrame:
-    """(pair_id, local_off, stored): each entry's bytes as they stand in its archive."""
-    cut = F.expr("substring(content, cast(data_off + 1 as int), cast(csize as int))")
-    return archives.join(entries.select("pair_id", "local_off", "data_off", "csize"), "pair_id").select("pair_id", "local_off", cut.alias("stored"))
-
-
 def explain_archives(old: DataFrame, new: DataFrame, *modifiers) -> DataFrame:
     """explained rows of archives (pair_id, content)."""
     c, d = cut_lineage(catalog(old)), cut_lineage(catalog(new, with_params=True))
-    return explain_patch(c, d, stored_bytes(old, c), stored_bytes(new, d), *modifiers)
+    return explain_patch(c, d, stored_entries(old), stored_entries(new), *modifiers)
 
 
 def path_order(path: str) -> Column:

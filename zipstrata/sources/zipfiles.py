@@ -7,6 +7,7 @@ the task, only their digest does, so no later shuffle carries content.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -129,6 +130,20 @@ def catalog(archives: DataFrame, with_params: bool = False, strict: bool = True)
     return archives.select("pair_id", "content").mapInArrow(run, ENTRY)
 
 
+def stored_entries(archives: DataFrame) -> DataFrame:
+    """(pair_id, local_off, stored): each entry's bytes as they stand in its archive, cut out where the archive lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pair, cell in zip(b.column(0).to_pylist(), b.column(1)):
+                content = cell.as_py() or b""
+                for some in itertools.batched(entries(content), 64):
+                    parts = [content[e.data_off : e.data_off + e.csize] for e in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([pair] * len(parts)), pa.array([e.local_off for e in some], pa.int64()), pa.array(parts, pa.binary())], ["pair_id", "local_off", "stored"])
+
+    return archives.select("pair_id", "content").mapInArrow(run, "pair_id string, local_off long, stored binary")
+
+
 def archive_error(content):
     """Column: why an archive can't be read; null if it can."""
 
