@@ -14,9 +14,9 @@ exception too.
 
 Then each fragment is split into pre-tokens, and these are cut at every forced pair of
 their bytes: within numbers, punctuation and the letters of most scripts, so what is left are short pieces that
-recur.  A piece that is a token is that token; others are merged by the vocabulary's
-ranks.  Runs of Latin letters have hardly a forced pair; those not seen before are merged in one
-library call, strung together with white space, which is again a forced boundary.
+recur; they are merged by the vocabulary's ranks.  Runs of Latin letters, which have few forced pairs,
+are merged whole if they weren't seen before, in one library call for many, strung together with white space,
+which is again a forced boundary.
 
 Fragments follow a Zipf law, so each worker keeps a bounded dictionary from
 fragment to its ids (as little-endian uint32 bytes): encoding a text is one
@@ -56,7 +56,7 @@ def byte_alphabet() -> dict[str, int]:
 class ForcedBoundaryBPE:
     """encode() and decode() of one byte-level vocabulary file (tokenizers JSON)."""
 
-    def __init__(self, path: str, max_entries: int = 200_000):
+    def __init__(self, path: str, max_entries: int = 60_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -159,28 +159,6 @@ class ForcedBoundaryBPE:
             self.pieces[piece] = found
         return found
 
-    def _of_pre_tokens(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of Latin pre-tokens: runs of letters without a forced pair are strung together, others cut and merged."""
-        out: dict[str, bytes] = {}
-        runs = [t for t in new if t.isalpha() or t[0] == " " and t[1:].isalpha()]
-        cut = self._runs_with_cuts(runs)
-        self._strung([t for t, c in zip(runs, cut) if not c], out)
-        for t in new:
-            if t not in out:
-                out[t] = b"".join(map(self._merged, self.cut_forced(t.encode())))
-        return out
-
-    def _runs_with_cuts(self, runs: list[str]) -> list[bool]:
-        """Which runs have a forced pair inside; one look at all of them."""
-        if not runs:
-            return []
-        raw = np.frombuffer("".join(runs).encode(), np.uint8)
-        ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in runs])
-        inside = self.forced[raw[:-1], raw[1:]]
-        inside[ends[:-1] - 1] = False  # between two runs
-        counts = np.concatenate([[0], np.cumsum(inside), [inside.sum()]])
-        return (np.diff(counts[np.concatenate([[0], ends])]) > 0).tolist()
-
     def _new(self, fragments: list[str]) -> list[bytes]:
         """Ids of fragments that aren't in a dictionary; all begin with a space, or there is one only."""
         if self.merger is None:
@@ -190,18 +168,31 @@ class ForcedBoundaryBPE:
             own = [f.isascii() or max(f) < "\u0250" for f in fragments]
             latin = iter(self._new([f for f, x in zip(fragments, own) if x]) if any(own) else ())
             return [next(latin) if x else b"".join([self._merged(p) for t in self.pre_tokens(f) for p in self.cut_forced(t)]) for f, x in zip(fragments, own)]
-        tokens = self.pre_token.findall(joined)
+        out: dict[str, bytes] = {}
+        self._strung([f for f in fragments if f.isalpha() or f[0] == " " and f[1:].isalpha()], out)
+        rest = [f for f in fragments if f not in out]
+        if rest:
+            out.update(zip(rest, self._of_pre_tokens(rest)))
+        return [out[f] for f in fragments]
+
+    def _of_pre_tokens(self, fragments: list[str]) -> list[bytes]:
+        """Ids of Latin fragments by their pre-tokens, which recur more than fragments do."""
+        tokens = self.pre_token.findall("".join(fragments))
         found = list(map(self.words.get, tokens))
         if None in found:
-            new = self._of_pre_tokens(list({t for t, x in zip(tokens, found) if x is None}))
+            missing = list({t for t, x in zip(tokens, found) if x is None})
+            new: dict[str, bytes] = {}
+            self._strung([t for t in missing if t.isalpha() or t[0] == " " and t[1:].isalpha()], new)
+            for t in missing:
+                if t not in new:
+                    new[t] = b"".join(map(self._merged, self.cut_forced(t.encode())))
             found = [new[t] if x is None else x for t, x in zip(tokens, found)]
             if len(self.words) + len(new) > self.max_entries:
                 self.words.clear()
             self.words |= new
         if len(fragments) == 1:
             return [b"".join(found)]
-        ends = np.searchsorted(np.cumsum(list(map(len, tokens))), np.cumsum(list(map(len, fragments)))) + 1
-        ends = ends.tolist()
+        ends = (np.searchsorted(np.cumsum(list(map(len, tokens))), np.cumsum(list(map(len, fragments)))) + 1).tolist()
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
     def _strung(self, runs: list[str], out: dict[str, bytes]) -> None:
@@ -228,7 +219,22 @@ class ForcedBoundaryBPE:
 
     def _spaced(self, fragments: list[str]) -> dict[str, bytes]:
         """Ids of " " + fragment for each."""
-        return dict(zip(fragments, self._new([" " + f for f in fragments])))
+        joined = " ".join(fragments)
+        if self.merger is None or not joined.isascii() and max(joined) >= "\u0250":
+            return dict(zip(fragments, self._new([" " + f for f in fragments])))
+        out: dict[str, bytes] = {}
+        runs = [f for f in fragments if f.isalpha()]
+        if runs:
+            strung = " " + " ".join(runs)
+            ids = np.array(self.merger.encode_ordinary(strung), "<u4")
+            lengths = [len(f) + 1 for f in runs] if strung.isascii() else [len(f) + 1 if f.isascii() else len(f.encode()) + 1 for f in runs]
+            ends = (np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum(lengths)) * 4 + 4).tolist()
+            raw = ids.tobytes()
+            out.update(zip(runs, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        rest = [f for f in fragments if f not in out]
+        if rest:
+            out.update(zip(rest, self._of_pre_tokens([" " + f for f in rest])))
+        return out
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of whole texts as little-endian uint32 bytes, about a million characters at a time."""
