@@ -197,10 +197,14 @@ def deflate_roundtrip(spark, sf_dir):
 
 def divine_params(spark, sf_dir):
     """Settings found for documents deflated at level 6; the bytes are made again with them."""
-    plain = F.col("text").cast("binary")
-    d = v.documents(spark, sf_dir).select("doc_id", plain.alias("plain"), codec.deflate_column(plain, 6).alias("deflated")).withColumn("p", codec.divine_column("deflated"))
-    again = kernel(lambda x, p: None if p is None else codec.deflate(bytes(x), *p), "binary")
-    return d.select("doc_id", F.col("p").isNotNull().alias("found"), (again("plain", "p") == F.col("deflated")).alias("same"))
+
+    def again(plain):  # one worker a task; the bytes stay there
+        raw = None if plain is None else codec.deflate(plain, 6)
+        p = None if raw is None else codec.divine(raw)
+        return p is not None, None if p is None else codec.deflate(plain, *p) == raw
+
+    d = v.documents(spark, sf_dir).select("doc_id", kernel(again, "struct<found:boolean,same:boolean>")(F.col("text").cast("binary")).alias("x"))
+    return d.select("doc_id", "x.found", "x.same")
 
 
 def delta_friendly_blob(spark, sf_dir):
