@@ -5,6 +5,8 @@ Versions are those of sources.versions; SQL stands for checksums with md5.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,13 +223,14 @@ def _old_new(spark, sf_dir) -> DataFrame:
 
 def bsdiff_roundtrip(spark, sf_dir):
     """Deltas of changed documents, applied."""
-    d = _old_new(spark, sf_dir).withColumn("delta", bindiff.write_delta_column("old", "new"))
-    return d.select("doc_id", F.md5(bindiff.apply_delta_column("old", "delta")).alias("new_md5"))
+    again = kernel(lambda a, b: None if a is None or b is None else hashlib.md5(bindiff.apply_delta(a, bindiff.write_delta(a, b))).hexdigest(), "string")  # one worker a task; the bytes stay there
+    return _old_new(spark, sf_dir).select("doc_id", again("old", "new").alias("new_md5"))
 
 
 def bsdiff_entries(spark, sf_dir):
     """Bytes that the entries of each delta make, added up from its control numbers."""
-    d = _old_new(spark, sf_dir).withColumn("e", bindiff.delta_entries_column(bindiff.write_delta_column("old", "new")))
+    entries = kernel(lambda a, b: None if a is None or b is None else [e[:3] for e in bindiff.read_delta(bindiff.write_delta(a, b))], bindiff.ENTRIES)  # one worker a task; the delta stays there
+    d = _old_new(spark, sf_dir).withColumn("e", entries("old", "new"))
     return d.select("doc_id", F.expr("aggregate(e, 0L, (a, x) -> a + x.diff + x.extra)").alias("made"))
 
 
