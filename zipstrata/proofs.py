@@ -47,7 +47,8 @@ def delta_literals(spark, sf_dir):
     """Whether a delta of a text with something put before and behind it has next to nothing but that as new bytes; null for short texts."""
     d = v.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", F.col("text").cast("binary").alias("old"), F.concat(F.lit("version 2: "), "text", F.lit(" (2)")).cast("binary").alias("new"))
-    e = d.withColumn("e", bindiff.delta_entries_column(bindiff.write_delta_column("old", "new")))
+    entries = kernel(lambda a, b: [e[:3] for e in bindiff.read_delta(bindiff.write_delta(a, b))], bindiff.ENTRIES)  # one worker a task; the delta stays there
+    e = d.withColumn("e", entries("old", "new"))
     literal = F.expr("aggregate(e, 0L, (a, x) -> a + x.extra)")
     return e.select("doc_id", F.when(F.octet_length("old") >= 64, literal <= 32).alias("few_literals"), F.expr("aggregate(e, 0L, (a, x) -> a + x.diff + x.extra)").alias("made"))
 
@@ -55,7 +56,7 @@ def delta_literals(spark, sf_dir):
 def budget_matches(spark, sf_dir):
     """Matches of each text with itself: none pays by its length, one does once the budget of looked-at letters is spent."""
     d = v.documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("t"))
-    count = lambda budget: kernel(lambda t: 0 if t is None else len(list(bindiff.matches(bytes(t), bytes(t), budget=budget))), "int")
+    count = lambda budget: kernel(lambda t: 0 if t is None else len(list(bindiff.matches(t, t, budget=budget))), "int")
     return d.select("doc_id", count(bindiff.MATCH_BUDGET)("t").alias("by_length"), count(1)("t").alias("by_budget"))
 
 
