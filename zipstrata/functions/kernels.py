@@ -41,6 +41,7 @@ def kernel(f, kind: str):
         parts = [pa.array(list(map(f, *(_values(c.slice(at, rows)) for c in columns))), made) for at in range(0, n, rows)]
         return pa.concat_arrays(parts) if parts else pa.array([], made)
 
+    run.__name__ = f.__name__  # what plans show
     return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)
 
 

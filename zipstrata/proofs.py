@@ -90,7 +90,7 @@ def archive_plan(spark, sf_dir):
 def patch_ranges(spark, sf_dir):
     """What patches of real archives list: ranges of both sides, settings, sizes."""
     old, new = _archives(spark, sf_dir)
-    p = cut_lineage(engine.generate(old, new).withColumn("plan", read_patch_column("patch")))  # two branches read it
+    p = cut_lineage(engine.generate(old, new)).withColumn("plan", read_patch_column("patch"))  # written first: two branches read patches, and so would a column chained to them
     grown = catalog(old).select("pair_id", F.col("data_off").alias("offset"), (F.col("usize") - F.col("csize")).alias("grown"))
     grown = p.select("pair_id", F.explode("plan.old_ops").alias("op")).select("pair_id", "op.offset").join(grown, ["pair_id", "offset"]).groupBy("pair_id").agg(F.sum("grown").alias("grown"))
     sized = p.join(old, "pair_id").join(grown, "pair_id", "left")
