@@ -66,14 +66,15 @@ def explain_patch(old: DataFrame, new: DataFrame, old_bytes: DataFrame, new_byte
     Sizes are approximate: a new entry's stored bytes deflated, a changed entry's
     delta deflated.  Renamed entries appear as new and as what they are compared with.  Free
     pairs are set apart before any bytes are joined, as a Python function under CASE
-    would run for them too.
+    would run for them too.  Plans are made once and written, as both kinds of pairs are read from them.
     """
     stored = {s: b.select("pair_id", F.col("local_off").alias(f"{s}_off"), F.col("stored").alias(f"{s}_stored")) for s, b in (("old", old_bytes), ("new", new_bytes))}
-    fresh = new_only(old, new).withColumn("new_off", F.col("local_off")).join(stored["new"], ["pair_id", "new_off"])
+    fresh = new_only(old, new.select("pair_id", "path", "local_off")).withColumnRenamed("local_off", "new_off").join(stored["new"], ["pair_id", "new_off"])
     fresh = fresh.select("pair_id", "path", F.lit(True).alias("is_new"), F.lit(None).cast("string").alias("reason"), kernel(_new_cost, "long")("new_stored").alias("size_in_patch"))
-    pairs = plan_pairs(old, new, *modifiers).withColumns({"path": F.col("new.path"), "is_new": F.lit(False), "old_off": F.col("old.local_off"), "new_off": F.col("new.local_off")})
-    free = pairs.filter(is_free()).select("pair_id", "path", "is_new", "reason", F.lit(0).cast("long").alias("size_in_patch"))
-    paid = pairs.filter(~is_free()).join(stored["old"], ["pair_id", "old_off"]).join(stored["new"], ["pair_id", "new_off"])
+    plan = plan_pairs(old, new, *modifiers)
+    pairs = cut_lineage(plan.select("pair_id", F.col("new.path").alias("path"), F.lit(False).alias("is_new"), "reason", "unc_old", "unc_new", F.col("old.local_off").alias("old_off"), F.col("new.local_off").alias("new_off"), is_free().alias("free")))
+    free = pairs.filter("free").select("pair_id", "path", "is_new", "reason", F.lit(0).cast("long").alias("size_in_patch"))
+    paid = pairs.filter("not free").join(stored["old"], ["pair_id", "old_off"]).join(stored["new"], ["pair_id", "new_off"])
     paid = paid.select("pair_id", "path", "is_new", "reason", kernel(_changed_cost, "long")("old_stored", "new_stored", "unc_old", "unc_new").alias("size_in_patch"))
     return fresh.unionByName(free).unionByName(paid)
 

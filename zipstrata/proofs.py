@@ -19,16 +19,16 @@ from .sources.patchfiles import read_patch_column, try_read_patch_column
 from .sources.zipfiles import catalog
 
 LONGEST = 64  # letters up to which longest_match tells a match's length
+BLANKS = " " * 200
 
 
 def _archive(docs: DataFrame, side: str) -> DataFrame:
     """Archives of one version; blanks behind each content make its deflated bytes fewer than its own, whatever it is."""
-    return v.zipped(v.contents(docs, side, 50).withColumn("content", F.concat("content", F.lit(" " * 200))), side == "new")
+    return v.zipped(v.contents(docs, side, 50).withColumn("content", F.concat("content", F.lit(BLANKS))), side == "new")
 
 
 def _archives(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = v.documents(spark, sf_dir)
-    return tuple(cut_lineage(_archive(docs, side)) for side in ("old", "new"))
+    return v.both_archives(v.documents(spark, sf_dir), 50, BLANKS)
 
 
 def longest_match(spark, sf_dir):
