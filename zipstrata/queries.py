@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import proofs
-from .checkpoints import cut_lineage
 from .functions import bindiff, codec, text
 from .functions.kernels import kernel
 from .operators import engine
@@ -163,8 +162,7 @@ def explain_json_report(spark, sf_dir):
 
 def explain_sizes(spark, sf_dir):
     """Explanations of real zip archives, with the sizes of deflated deltas."""
-    docs = v.documents(spark, sf_dir)
-    found = explain.explain_archives(v.archives(docs, "old"), v.archives(docs, "new"), limits.total_recompression(TRL))
+    found = explain.explain_archives(*v.both_archives(v.documents(spark, sf_dir)), limits.total_recompression(TRL))  # made once: catalogues and stored bytes are read from them
     return found.select("pair_id", F.col("path").cast("string").alias("path"), "is_new", "reason", "size_in_patch")
 
 
@@ -244,7 +242,7 @@ def gdiff_apply(spark, sf_dir):
 def patch_roundtrip(spark, sf_dir):
     """Patches between real zip archives, applied: the new archives byte for byte."""
     docs = v.documents(spark, sf_dir)
-    old, new = (cut_lineage(v.archives(docs, side)) for side in ("old", "new"))  # made for this query, and read by each step
+    old, new = v.both_archives(docs)  # made for this query, and read by each step
     made = engine.apply(old, engine.generate(old, new)).withColumnRenamed("content", "made")
     n = v.contents(docs, "new", 50).groupBy("pair_id").agg(F.count("*").alias("n_entries"))
     return made.join(new, "pair_id").join(n, "pair_id").select("pair_id", (F.col("made") == F.col("content")).alias("identical"), "n_entries")
