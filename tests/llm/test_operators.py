@@ -107,6 +107,17 @@ def test_packing(docs, empty, library):
     assert packing.pack(empty, BYTE).count() == 0
 
 
+def test_packing_past_int(docs, monkeypatch):
+    """Ids of sequences that don't fit an int, as class 1 has from 2^21 sequences of 1024 on."""
+    near, first, pieces = packing.pack(docs, BYTE).collect(), 3_000_000, packing._pieces
+    assert any(r["class"] == 1 for r in near) and any(r["sequence_id"] % 1024 + 1 != r["class"] for r in near)  # some last sequences are laid together
+    monkeypatch.setattr(packing, "_pieces", lambda *a: pieces(*a).withColumn("number", F.col("number") + F.when(F.col("class") == 1, first).otherwise(0)))
+    far = packing.pack(docs, BYTE).collect()
+    assert max(r["sequence_id"] for r in far) >= 2**31
+    moved = [r.asDict() | {"sequence_id": r["sequence_id"] + first * 1024 * (r["class"] == 1)} for r in near]
+    assert sorted(map(str, moved)) == sorted(str(r.asDict()) for r in far)
+
+
 def test_packing_classes():
     for rest, parts in enumerate(packing.cuts(1024)):
         assert sum(n for n, _ in parts) == rest

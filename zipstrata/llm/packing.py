@@ -127,7 +127,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, id_c
     moves = _lay_together([(r["class"], r["tokens"]) for r in fill], capacity)
     moved = {ids[k]: (ids[to], base) for k, (to, base) in moves.items() if to != k}
     if moved:
-        entry = F.create_map(*(x for k, (to, base) in moved.items() for x in (F.lit(k), F.struct(F.lit(to).alias("to"), F.lit(base).alias("base")))))[F.col("sequence_id")]
+        # Keys must be long: sequence_id is cast to the keys' type, and a class has ids over an int's from 2^31 / capacity sequences on.
+        entry = F.create_map(*(x for k, (to, base) in moved.items() for x in (F.lit(k).cast("long"), F.struct(F.lit(to).cast("long").alias("to"), F.lit(base).cast("long").alias("base")))))[F.col("sequence_id")]
         placed = placed.withColumn("move", entry).withColumn("sequence_id", F.coalesce("move.to", "sequence_id")).withColumn("offset", F.col("offset") + F.coalesce("move.base", F.lit(0)))
     return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long"), F.col("offset").cast("long"), "class", *["ids"] * with_ids)
 
