@@ -86,7 +86,7 @@ class ForcedBoundaryBPE:
         self.pieces: dict[bytes, bytes] = {}
         # Between a space after and a character before that are both not white space, a text is cut by str.split;
         # texts with other white space beside a space take the pattern.
-        self.odd_space = re.compile(f"^ | $| [{WHITE_SPACE}]|[{WHITE_SPACE}] ")
+        self.odd_space = re.compile(f" (?:[{WHITE_SPACE}]|$|(?<=[{WHITE_SPACE}] )|(?<=^ ))")  # begins with a letter, which is sought faster than a class
         self.cut = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.token_length = np.array([len(b) for b in self.token_bytes])
@@ -278,7 +278,7 @@ class ForcedBoundaryBPE:
             elif 2 * len(missing) > len(pieces):  # other words than before: begin anew
                 self.fragments.clear()
         for own in spans:
-            yield b"".join([x for head, a, b in own for x in (head, *found[a:b])])
+            yield b"".join([head + b"".join(found[a:b]) for head, a, b in own])
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian uint32 bytes."""
